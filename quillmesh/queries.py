@@ -1,15 +1,416 @@
-"""Registered queries of the record-linkage operators and their DuckDB oracles."""
+"""Registered queries of the record-linkage operators and their DuckDB oracles.
+
+Linkage records are derived from ``documents`` (plans.fixture); the dense operators run on ``embeddings``, with
+vec_id % 3 as the source and label in the role of the country. Budgets are small enough to bind on these tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import features as X
+from .functions import similarity as S
+from .functions import text as N
+from .operators import candidates as C
+from .operators import decisions as D
+from .operators import diagnostics as G
+from .operators import retrieval as R
+from .plans import fixture
+from .plans.oracle import F_HALF, sql
+
+BUDGET, K = 60, 10
+RULE = D.Rule(0.5, 0.12, 0.0, 0.0, 12)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+class Plan:
+    """The linkage chain over one data set, each step a lazy DataFrame."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.raw = fixture.records(spark, sf_dir)
+        self.truth = fixture.truth(self.raw)
+        self.records = N.normalize(self.raw)
+        self.toks = R.tokens(self.records)
+        self.pool = self.records.where("src > 1")
+        self.vocab = R.vocabulary(self.toks.where("src > 1"), self.pool)
+        self.norms = R.norms(self.toks.where("src > 1"), self.vocab, self.pool)
+        self.queries = self.records.where("src = 1")
+
+    def selected(self) -> DataFrame:
+        return R.select_tokens(self.toks.where("src = 1").drop("src"), self.vocab, BUDGET)
+
+    def found(self) -> DataFrame:
+        return R.retrieve(self.selected(), self.toks.where("src > 1"), self.norms, K)
+
+    def union(self) -> DataFrame:
+        return R.sparse_union(self.found())
+
+    def features(self) -> DataFrame:
+        return X.set_features(C.attributed(self.union(), self.records))
+
+    def scored(self) -> DataFrame:
+        return C.label(self.features().withColumn("score", X.set_score()), self.truth)
+
+    def accepted(self) -> DataFrame:
+        return D.accept(self.scored(), RULE)
+
+    def universe(self) -> DataFrame:
+        return D.universe(self.queries, self.truth).withColumn("fold", F.substring("q_id", 4, 30).cast("long") % 5)
+
+
+PAIR = ["q_id", "src", "rec_id", "score", "label"]
+
+
+@query("SELECT entity_id, src, country, name, core, addr, digits, state, legal FROM t_norm")
+def normalize_records(spark, sf_dir):
+    return Plan(spark, sf_dir).records.drop("business_name", "business_address")
+
+
+@query("""SELECT src, x.c AS "column", count(*) AS n, sum(CASE WHEN x.v = '' THEN 1 ELSE 0 END)::BIGINT AS n_empty, count(DISTINCT CASE WHEN x.v <> '' THEN x.v END) AS n_distinct FROM (
+  SELECT src, unnest([{'c': 'business_name', 'v': business_name}, {'c': 'business_address', 'v': business_address}, {'c': 'country', 'v': country}]) AS x FROM t_rec) GROUP BY ALL""")
+def profile_sources(spark, sf_dir):
+    return G.profile(fixture.records(spark, sf_dir), ["business_name", "business_address", "country"], ["src"])
+
+
+@query("""SELECT *, round(100 * n / sum(n) OVER (), 4) AS pct, round(100 * sum(n) OVER (ORDER BY n_matches) / sum(n) OVER (), 4) AS cum_pct FROM (
+  SELECT n_matches::INT AS n_matches, count(*) AS n, count(*) FILTER (WHERE a > 0 AND b = 0) AS s2_only, count(*) FILTER (WHERE a = 0 AND b > 0) AS s3_only, count(*) FILTER (WHERE a > 0 AND b > 0) AS both FROM (
+    SELECT entity_id, count(t.rec_id) AS n_matches, count(*) FILTER (WHERE t.rec_id LIKE 'S2-%') AS a, count(*) FILTER (WHERE t.rec_id LIKE 'S3-%') AS b FROM t_rec r LEFT JOIN t_truth t ON t.q_id = r.entity_id WHERE r.src = 1 GROUP BY entity_id) GROUP BY n_matches)""")
+def gt_profile(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    cells = p.raw.where("src = 1").select(F.col("entity_id").alias("q_id")).join(p.truth.groupBy("q_id").agg(F.array_join(F.sort_array(F.collect_list("rec_id")), ",").alias("matched")), "q_id", "left")
+    return G.truth_profile(cells.withColumn("matched", F.coalesce("matched", F.lit(""))))
+
+
+@query("SELECT src, entity_id, field, token, pos::INT AS pos FROM t_tok")
+def tokens_by_field(spark, sf_dir):
+    return Plan(spark, sf_dir).toks
+
+
+@query("SELECT src, token, df, round(idf, 6) AS idf FROM t_vocab")
+def index_df_idf(spark, sf_dir):
+    return Plan(spark, sf_dir).vocab.withColumn("idf", F.round("idf", 6))
+
+
+@query("SELECT src, entity_id, field, round(norm, 6) AS norm FROM t_norms")
+def field_norms(spark, sf_dir):
+    return Plan(spark, sf_dir).norms.withColumn("norm", F.round("norm", 6))
+
+
+@query("SELECT q_id, src, field, token, df, pos::INT AS pos, spent::BIGINT AS spent FROM t_sel")
+def budget_select(spark, sf_dir):
+    return Plan(spark, sf_dir).selected().drop("idf")
+
+
+@query("SELECT q_id, src, rec_id, score, rank::INT AS rank FROM t_found WHERE field = 'name'")
+def retrieve_name_topk(spark, sf_dir):
+    return Plan(spark, sf_dir).found().where("field = 'name'").drop("field")
+
+
+@query("SELECT q_id, src, rec_id, score, rank::INT AS rank FROM t_found WHERE field = 'addr'")
+def retrieve_addr_topk(spark, sf_dir):
+    return Plan(spark, sf_dir).found().where("field = 'addr'").drop("field")
+
+
+@query("""SELECT q_id, src, rec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id, src ORDER BY score DESC, rec_id) - 1 AS rank FROM (
+  SELECT q_id, s.src, t.entity_id AS rec_id, round(sum(s.idf), 6) AS score FROM (
+    SELECT t.entity_id AS q_id, v.src, t.token, v.idf, coalesce(sum(df) OVER (PARTITION BY t.entity_id, v.src ORDER BY df, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM t_tok t JOIN t_vocab v ON v.token = t.token WHERE t.src = 1) s
+  JOIN t_tok t ON t.src = s.src AND t.token = s.token WHERE spent < 60 GROUP BY ALL)) WHERE rank < 10""")
+def retrieve_combined_v2(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return R.retrieve_combined(p.toks.where("src = 1").drop("src"), p.vocab, p.toks.where("src > 1"), BUDGET, K)
+
+
+@query("SELECT q_id, src, rec_id, blk_name, blk_addr FROM t_union")
+def sparse_union(spark, sf_dir):
+    return Plan(spark, sf_dir).union()
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    kind = F.col("vec_id") % 3
+    q = e.where(kind == 0).select(F.col("vec_id").alias("q_id"), F.col("label").alias("country"), "embedding")
+    return q, e.where(kind > 0).select((kind + 1).cast("int").alias("src"), F.col("vec_id").alias("rec_id"), F.col("label").alias("country"), "embedding")
+
+
+def _near(spark: SparkSession, sf_dir: str, reach: int) -> DataFrame:
+    q, p = _vectors(spark, sf_dir)
+    near = F.abs(F.col("q_id") - F.col("rec_id"))
+    return q.drop("embedding").join(p, "country").where(near <= reach).withColumn("blk_name", F.round(1.0 / (1 + near), 6))
+
+
+@query("SELECT q_id, src, rec_id, cos, rank::INT AS rank FROM t_dense")
+def dense_topk(spark, sf_dir):
+    return C.dense_topk(*_vectors(spark, sf_dir), K)
+
+
+@query("""SELECT q_id, src, rec_id, coalesce(n.blk_name, 0) AS blk_name, coalesce(n.blk_addr, 0) AS blk_addr, coalesce(d.cos, l.last, 0) AS dense_cos,
+  CASE WHEN d.rank IS NULL THEN 10 ELSE d.rank END::DOUBLE AS dense_rank, CASE WHEN d.rank IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS in_dense
+  FROM t_near n FULL JOIN t_dense d USING (q_id, src, rec_id) LEFT JOIN (SELECT q_id, src, min(cos) AS last FROM t_dense GROUP BY ALL) l USING (q_id, src)""")
+def dense_fill(spark, sf_dir):
+    sparse = _near(spark, sf_dir, 60).select("q_id", "src", "rec_id", "blk_name", F.lit(0.0).alias("blk_addr"))
+    return C.with_dense(sparse, C.dense_topk(*_vectors(spark, sf_dir), K), K)
+
+
+@query("""SELECT n_q, n_true, n_cand, found, by_name, by_addr, q_missed, round(found / n_true, 6) AS recall, round(by_name / n_true, 6) AS recall_name, round(by_addr / n_true, 6) AS recall_addr, round(1 - n_cand / (n_q * pool), 8) AS reduction FROM (
+  SELECT count(*) AS n_true, count(u.rec_id) AS found, count(*) FILTER (WHERE blk_name > 0) AS by_name, count(*) FILTER (WHERE blk_addr > 0) AS by_addr, count(DISTINCT CASE WHEN u.rec_id IS NULL THEN t.q_id END) AS q_missed FROM t_truth t LEFT JOIN t_union u ON u.q_id = t.q_id AND u.rec_id = t.rec_id),
+  (SELECT count(*) AS n_cand FROM t_union), (SELECT count(*) FILTER (WHERE src = 1) AS n_q, count(*) FILTER (WHERE src > 1) AS pool FROM t_norm)""")
+def blocking_recall(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return C.blocking_recall(p.union(), p.truth, p.queries, p.raw.where("src > 1").count())
+
+
+@query("""SELECT cap::INT AS cap, count(*) AS n_cand, count(t.q_id) AS found FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY greatest(blk_name, blk_addr) DESC, rec_id) - 1 AS rank FROM t_union) u
+  JOIN (SELECT unnest([1, 2, 5, 10, 20]) AS cap) c ON rank < cap LEFT JOIN t_truth t ON t.q_id = u.q_id AND t.rec_id = u.rec_id GROUP BY cap""")
+def blocking_cap_recall(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return C.capped_recall(p.union(), p.truth, [1, 2, 5, 10, 20])
+
+
+@query("""SELECT k::INT AS k, count(*) FILTER (WHERE coalesce(rank < k, false) AND NOT s) AS n_new, count(*) FILTER (WHERE coalesce(rank < k, false) AND l) AS dense_found, count(*) FILTER (WHERE (coalesce(rank < k, false) OR s) AND l) AS union_found FROM (
+  SELECT n.rec_id IS NOT NULL AS s, d.rank, t.q_id IS NOT NULL AS l FROM t_near n FULL JOIN t_dense d USING (q_id, src, rec_id) LEFT JOIN t_vtruth t ON t.q_id = coalesce(n.q_id, d.q_id) AND t.rec_id = coalesce(n.rec_id, d.rec_id)), (SELECT unnest([2, 5, 10]) AS k) GROUP BY k""")
+def dense_union_recall(spark, sf_dir):
+    sparse, dense = _near(spark, sf_dir, 60), C.dense_topk(*_vectors(spark, sf_dir), K)
+    return C.dense_union_recall(sparse, dense, _near_truth(spark, sf_dir), [2, 5, 10])
+
+
+def _dot(a: str, b: str):
+    return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 6)
+
+
+def _near_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, _ = _vectors(spark, sf_dir)
+    pairs = _near(spark, sf_dir, 90).join(q.select("q_id", F.col("embedding").alias("v")), "q_id")
+    return pairs.where(_dot("embedding", "v") > 0.1).select("q_id", "rec_id")
+
+
+@query("SELECT entity_id, name_rarity FROM t_rar")
+def name_rarity(spark, sf_dir):
+    return C.name_rarity(Plan(spark, sf_dir).records)
+
+
+@query("SELECT entity_id, addr_sat FROM t_sat")
+def addr_saturation(spark, sf_dir):
+    return C.address_saturation(Plan(spark, sf_dir).records)
+
+
+_KEYS = ["q_id", "src", "rec_id"]
+
+
+@query("SELECT q_id, src, rec_id, q_name_rarity, p_name_rarity, q_addr_sat, p_addr_sat, " + ", ".join(X.SET_FEATURES) + " FROM t_feat")
+def pair_set_features(spark, sf_dir):
+    return Plan(spark, sf_dir).features().select(*_KEYS, "q_name_rarity", "p_name_rarity", "q_addr_sat", "p_addr_sat", *X.SET_FEATURES)
+
+
+@query("SELECT q_id, src, rec_id, round(CASE WHEN q_core = '' OR p_core = '' THEN 0 ELSE jaro_winkler_similarity(q_core, p_core) END, 4) AS n_jw FROM t_attr")
+def pair_jaro_winkler(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return S.fuzzy_features(C.attributed(p.union(), p.records)).select(*_KEYS, F.round("n_jw", 4).alias("n_jw"))
+
+
+@query()
+def pair_fuzzy_features(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return S.fuzzy_features(C.attributed(p.union(), p.records)).select(*_KEYS, *X.FUZZY)
+
+
+@query()
+def base_score(spark, sf_dir):
+    return S.fuzzy_features(Plan(spark, sf_dir).features()).select(*_KEYS, X.base_score().alias("s0"))
+
+
+@query("""SELECT q_id, src, rec_id, count(*) OVER g::DOUBLE AS n_cands, sum(CASE WHEN round(score - best, 6) >= -0.05 THEN 1.0 ELSE 0.0 END) OVER g::DOUBLE AS n_near_best, rank::DOUBLE AS s0_rank, round(score - best, 6) AS s0_d_best,
+  round(CASE WHEN best > 1e-6 THEN score / best ELSE 0 END, 6) AS s0_r_best, round(score - coalesce(nth_value(score, 2) OVER (PARTITION BY q_id ORDER BY score DESC, src, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0), 6) AS s0_d_second,
+  (row_number() OVER (PARTITION BY q_id ORDER BY n_jacc DESC, src, rec_id) - 1)::DOUBLE AS nt_rank, round(n_jacc - max(n_jacc) OVER g, 6) AS nt_d_best, (row_number() OVER (PARTITION BY q_id ORDER BY a_jacc DESC, src, rec_id) - 1)::DOUBLE AS at_rank, round(a_jacc - max(a_jacc) OVER g, 6) AS at_d_best,
+  (row_number() OVER (PARTITION BY q_id, src ORDER BY score DESC, rec_id) - 1)::DOUBLE AS s0_rank_src, round(CASE WHEN stddev_pop(score) OVER g > 1e-6 THEN (score - avg(score) OVER g) / stddev_pop(score) OVER g ELSE 0 END, 4) AS s0_z, CASE WHEN rank = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS s0_is_best
+  FROM t_rank WINDOW g AS (PARTITION BY q_id)""")
+def relative_features(spark, sf_dir):
+    s = Plan(spark, sf_dir).scored().select(*PAIR, "n_jacc", "a_jacc")
+    return X.relative(s, "score", "n_jacc", "a_jacc").drop("score", "label", "n_jacc", "a_jacc")
+
+
+@query("SELECT q_id, src, rec_id, score, label FROM t_scored")
+def label_pairs(spark, sf_dir):
+    return Plan(spark, sf_dir).scored().select(*PAIR)
+
+
+@query()
+def negative_sample(spark, sf_dir):
+    return C.sample_negatives(Plan(spark, sf_dir).scored().select(*PAIR), 0.3)
+
+
+@query("SELECT q_id, src, rec_id, score, label FROM t_acc")
+def accept_rule(spark, sf_dir):
+    return Plan(spark, sf_dir).accepted().select(*PAIR)
+
+
+_RULES = [D.Rule(t, d, 0.0, s, k) for t in (0.3, 0.5, 0.7) for d in (0.12, 1.0) for s in (0.0, 0.8) for k in (8, 12)]
+_RULE_ROWS = ", ".join(f"({i}, {r.tau}, {r.delta}, {r.tau2}, {r.tau_single}, {r.kmax})" for i, r in enumerate(_RULES))
+
+
+@query(f"""SELECT rule, tau, delta, tau2, tau_single, kmax, round(avg(f), 6) AS mean_f, round(avg(npred), 6) AS mean_pred, round(avg(CASE WHEN npred = 0 THEN 1 ELSE 0 END), 6) AS empty_share FROM (
+  SELECT *, round({F_HALF}, 6) AS f FROM (SELECT r.*, u.q_id, u.n_true, coalesce(sum(k.label), 0) AS tp, count(k.q_id) AS npred
+    FROM (SELECT col0 AS rule, col1::DOUBLE AS tau, col2::DOUBLE AS delta, col3::DOUBLE AS tau2, col4::DOUBLE AS tau_single, col5 AS kmax FROM (VALUES {_RULE_ROWS})) r CROSS JOIN t_univ u
+    LEFT JOIN t_rank k ON k.q_id = u.q_id AND k.best >= r.tau_single AND k.score >= r.tau AND round(k.best - k.score, 6) <= r.delta AND (k.rank = 0 OR k.score >= r.tau2) AND k.rank < r.kmax GROUP BY ALL)) GROUP BY rule, tau, delta, tau2, tau_single, kmax""")
+def rule_sweep(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return D.sweep(spark, p.scored().select(*PAIR), p.universe(), _RULES)
+
+
+@query("SELECT q_id, country, n_true, bucket, tp, npred, f FROM t_perq")
+def f05_per_entity(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return D.per_query(p.accepted(), p.universe()).drop("fold")
+
+
+_REPORT = "count(*) AS n, round(avg(f), 6) AS mean_f, sum(tp)::BIGINT AS tp, sum(npred - tp)::BIGINT AS fp, sum(n_true - tp)::BIGINT AS fn, count(*) FILTER (WHERE npred = 0) AS empty_predictions, count(*) FILTER (WHERE n_true = 0 AND npred = 0) AS singletons_hit FROM t_perq"
+
+
+@query(f"SELECT country, bucket, {_REPORT} GROUP BY country, bucket")
+def f05_report(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return D.report(D.per_query(p.accepted(), p.universe()), ["country", "bucket"])
+
+
+@query(f"SELECT {_REPORT}")
+def f05_total(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return D.report(D.per_query(p.accepted(), p.universe()))
+
+
+@query("SELECT q_id, src, rec_id, score, label FROM t_claims WHERE n_claims = 1")
+def resolve_drop_all(spark, sf_dir):
+    return D.resolve(Plan(spark, sf_dir).accepted().select(*PAIR), "drop_all")
+
+
+@query("SELECT q_id, src, rec_id, score, label FROM t_claims WHERE r_low = 1")
+def resolve_keep_best(spark, sf_dir):
+    return D.resolve(Plan(spark, sf_dir).accepted().select(*PAIR), "keep_best")
+
+
+@query("SELECT q_id, src, rec_id, score, label FROM t_claims WHERE r_low = 1 AND (ahead IS NULL OR ahead >= 0.05)")
+def resolve_margin(spark, sf_dir):
+    return D.resolve(Plan(spark, sf_dir).accepted().select(*PAIR), "margin")
+
+
+@query("SELECT q_id, src, rec_id, score, label FROM t_claims WHERE r_high = 1")
+def resolve_production(spark, sf_dir):
+    return D.resolve(Plan(spark, sf_dir).accepted().select(*PAIR), "production")
+
+
+_VARIANTS = ["none", "drop_all", "keep_best", "margin"]
+
+
+@query(f"""SELECT variant, fold, grid, f_own, f_other FROM (SELECT *, row_number() OVER (PARTITION BY variant, fold ORDER BY f_other DESC, grid) AS r FROM (
+  SELECT variant, grid, fold, round(total / n, 6) AS f_own, round((sum(total) OVER w - total) / (sum(n) OVER w - n), 6) AS f_other FROM (
+    SELECT variant, grid, fold, count(*) AS n, sum(f) AS total FROM (SELECT *, round({F_HALF}, 6) AS f FROM (
+      SELECT v.variant, g.grid, u.q_id, u.fold, u.n_true, coalesce(sum(c.label) FILTER (WHERE CASE v.variant WHEN 'none' THEN true WHEN 'drop_all' THEN c.n = 1 WHEN 'keep_best' THEN c.r = 1 ELSE c.r = 1 AND (c.l IS NULL OR c.l >= 0.05) END), 0) AS tp,
+        count(c.q_id) FILTER (WHERE CASE v.variant WHEN 'none' THEN true WHEN 'drop_all' THEN c.n = 1 WHEN 'keep_best' THEN c.r = 1 ELSE c.r = 1 AND (c.l IS NULL OR c.l >= 0.05) END) AS npred
+      FROM (SELECT unnest(['none', 'drop_all', 'keep_best', 'margin']) AS variant) v CROSS JOIN (SELECT i AS grid, [0.3, 0.5, 0.7][i // 2 + 1]::DOUBLE AS tau, [1.0, 0.12][i % 2 + 1]::DOUBLE AS delta FROM range(6) t(i)) g CROSS JOIN t_univ u
+      LEFT JOIN (SELECT g.grid, k.q_id, k.label, count(*) OVER w AS n, row_number() OVER (w ORDER BY score DESC, k.q_id) AS r, round(score - lead(score) OVER (w ORDER BY score DESC, k.q_id), 6) AS l FROM t_rank k JOIN (SELECT i AS grid, [0.3, 0.5, 0.7][i // 2 + 1]::DOUBLE AS tau, [1.0, 0.12][i % 2 + 1]::DOUBLE AS delta FROM range(6) t(i)) g
+        ON k.score >= g.tau AND round(k.best - k.score, 6) <= g.delta AND k.rank < 12 WINDOW w AS (PARTITION BY g.grid, src, rec_id)) c ON c.grid = g.grid AND c.q_id = u.q_id
+      GROUP BY v.variant, g.grid, u.q_id, u.fold, u.n_true)) GROUP BY variant, grid, fold) WINDOW w AS (PARTITION BY variant, grid))) WHERE r = 1""")
+def nested_selection(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    chosen = D.nested_selection(spark, p.scored().select(*PAIR), p.universe().select("q_id", "n_true", "fold"), [0.3, 0.5, 0.7], [1.0, 0.12], _VARIANTS)
+    return chosen.withColumn("grid", F.col("grid").cast("long"))
+
+
+@query(f"SELECT q_id, n_true, tp, npred, round({F_HALF}, 6) AS f FROM (SELECT u.q_id, u.n_true, coalesce(sum(s.label), 0)::BIGINT AS tp, count(s.q_id) AS npred FROM t_univ u LEFT JOIN t_scored s ON s.q_id = u.q_id AND s.label = 1 GROUP BY ALL)")
+def oracle_f05(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return D.per_query(p.scored().where("label = 1"), p.universe()).select("q_id", "n_true", "tp", "npred", "f")
+
+
+@query("""SELECT pattern, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN q_core <> '' AND coalesce(n_rare, 0) = 0 THEN 'generic_name' WHEN a_empty_p > 0.5 OR a_empty_q > 0.5 THEN 'empty_address_name_only' WHEN a_jacc >= 0.85 AND n_jacc < 0.60 THEN 'same_address_different_name'
+  WHEN n_jacc >= 0.90 AND a_jacc < 0.45 THEN 'same_name_different_address(chain)' WHEN legal_state = 2 AND n_jacc >= 0.80 THEN 'legal_form_mismatch' WHEN n_contain >= 0.95 AND n_jacc < 0.60 THEN 'name_containment(parent/subsidiary)' WHEN n_jacc < 0.70 AND a_jacc < 0.70 THEN 'weak_on_both_fields' WHEN n_true > 0 THEN 'sibling_of_a_true_match' ELSE 'other' END AS pattern
+  FROM t_acc a JOIN t_univ USING (q_id) LEFT JOIN (SELECT t.entity_id AS q_id, count(*) AS n_rare FROM t_ctok t LEFT JOIN t_cdf d ON d.ref = 2 AND d.token = t.token WHERE t.src = 1 AND coalesce(df, 0) < 3000 GROUP BY ALL) r USING (q_id) WHERE label = 0) GROUP BY pattern""")
+def fp_patterns(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return G.false_patterns(p.accepted(), p.records, p.universe(), "n_jacc", "a_jacc")
+
+
+@query("""SELECT kind, CASE WHEN rank IS NULL THEN 'none' WHEN rank <= 0 THEN '<=0' WHEN rank <= 4 THEN '<=4' WHEN rank <= 9 THEN '<=9' WHEN rank <= 24 THEN '<=24' WHEN rank <= 49 THEN '<=49' WHEN rank <= 99 THEN '<=99' WHEN rank <= 199 THEN '<=199' ELSE '>199' END AS bucket, count(*) AS n FROM (
+  SELECT x.k AS kind, x.r AS rank FROM (SELECT unnest([{'k': 'name', 'r': a}, {'k': 'addr', 'r': b}, {'k': 'best', 'r': least(a, b)}]) AS x FROM (
+    SELECT t.q_id, t.rec_id, min(rank) FILTER (WHERE field = 'name') AS a, min(rank) FILTER (WHERE field = 'addr') AS b FROM t_truth t LEFT JOIN t_found f ON f.q_id = t.q_id AND f.rec_id = t.rec_id GROUP BY ALL))) GROUP BY ALL""")
+def rank_histogram(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return G.rank_histogram(p.found(), p.truth)
+
+
+@query("""SELECT *, round(100 * n / sum(n) OVER (PARTITION BY kind), 4) AS pct, round(100 * sum(n) OVER (PARTITION BY kind ORDER BY shared) / sum(n) OVER (PARTITION BY kind), 4) AS cum_pct FROM (
+  SELECT x.k AS kind, x.s::BIGINT AS shared, count(*) AS n FROM (SELECT unnest([{'k': 'all', 's': least(a, 12)}, {'k': 'rare', 's': least(b, 8)}]) AS x FROM (
+    SELECT t.q_id, t.rec_id, count(v.token) AS a, count(*) FILTER (WHERE v.df <= 2000) AS b FROM t_truth t LEFT JOIN t_tok q ON q.entity_id = t.q_id LEFT JOIN t_tok p ON p.entity_id = t.rec_id AND p.token = q.token LEFT JOIN t_vocab v ON v.src = p.src AND v.token = p.token GROUP BY ALL)) GROUP BY ALL)""")
+def shared_token_histogram(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return G.shared_tokens(p.toks, p.vocab, p.truth)
+
+
+@query("""SELECT category, empty_addr, coalesce(n, 0) AS n FROM (SELECT unnest(['cross_script', 'partial', 'alias']) AS category) CROSS JOIN (SELECT unnest([0, 1]) AS empty_addr) LEFT JOIN (
+  SELECT CASE WHEN len(list_intersect(qt, pt)) > 0 OR round(CASE WHEN len(qg) > 0 AND len(pg) > 0 THEN len(list_intersect(qg, pg)) / len(list_distinct(list_concat(qg, pg))) ELSE 0 END, 6) >= 0.25 THEN 'partial' ELSE 'alias' END AS category, e AS empty_addr, count(*) AS n FROM (
+    SELECT list_filter(string_split(q.core, ' '), lambda x: x <> '') AS qt, list_filter(string_split(p.core, ' '), lambda x: x <> '') AS pt, CASE WHEN p.addr = '' THEN 1 ELSE 0 END AS e,
+      list_distinct(list_transform(range(1, length(replace(q.core, ' ', '')) - 1), lambda i: substr(replace(q.core, ' ', ''), i, 3))) AS qg, list_distinct(list_transform(range(1, length(replace(p.core, ' ', '')) - 1), lambda i: substr(replace(p.core, ' ', ''), i, 3))) AS pg
+    FROM t_truth t JOIN t_norm q ON q.entity_id = t.q_id JOIN t_norm p ON p.entity_id = t.rec_id WHERE NOT EXISTS (SELECT 1 FROM t_found f WHERE f.q_id = t.q_id AND f.rec_id = t.rec_id AND f.rank < 2)) GROUP BY ALL) USING (category, empty_addr)""")
+def miss_profile(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    missed = p.truth.join(p.found().where("rank < 2"), ["q_id", "rec_id"], "left_anti")
+    side = lambda k, key: p.records.select(F.col("entity_id").alias(key), F.col("core").alias(f"{k}_core"), F.col("addr").alias(f"{k}_addr"), F.col("business_name").alias(f"{k}_raw"))
+    return G.miss_profile(missed.join(side("q", "q_id"), "q_id").join(side("p", "rec_id"), "rec_id"))
+
+
+@query("""SELECT CASE WHEN pa = '' OR pb = '' THEN 'unknown' WHEN pa = pb AND ca = cb THEN 'same' ELSE 'different' END AS kind, count(*) AS n FROM (
+  SELECT a.country AS ca, b.country AS cb, coalesce(list_filter(string_split(na.addr, ' '), lambda x: x <> '')[-1], '') AS pa, coalesce(list_filter(string_split(nb.addr, ' '), lambda x: x <> '')[-1], '') AS pb
+  FROM t_acc a JOIN t_acc b ON a.src = b.src AND a.rec_id = b.rec_id AND a.q_id < b.q_id JOIN t_norm na ON na.entity_id = a.q_id JOIN t_norm nb ON nb.entity_id = b.q_id) GROUP BY kind""")
+def claim_pairs(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    place = p.queries.select(F.col("entity_id").alias("q_id"), "country", F.coalesce(F.get(F.reverse(N.words("addr")), F.lit(0)), F.lit("")).alias("place"))
+    return G.claim_pairs(p.accepted(), place)
+
+
+@query("""SELECT t.q_id, t.rec_id, count(d.rec_id) AS n_above, round(count(d.rec_id) * 2.0, 6) AS est_rank FROM (SELECT q_id, max(rec_id) AS rec_id FROM t_vtruth GROUP BY q_id) t JOIN t_dots s ON s.q_id = t.q_id AND s.rec_id = t.rec_id
+  LEFT JOIN t_dots d ON d.q_id = t.q_id AND d.rec_id <> t.rec_id AND d.cos > s.cos GROUP BY t.q_id, t.rec_id""")
+def distractor_rank(spark, sf_dir):
+    q, pool = _vectors(spark, sf_dir)
+    truth = _near_truth(spark, sf_dir).groupBy("q_id").agg(F.max("rec_id").alias("rec_id"))
+    pairs = truth.join(q.select("q_id", "country", F.col("embedding").alias("q_vec")), "q_id").join(pool.select("rec_id", F.col("embedding").alias("v")), "rec_id")
+    pairs = pairs.select("q_id", "rec_id", "country", "q_vec", _dot("q_vec", "v").alias("sim"))
+    return G.distractor_rank(pairs, pool.select("rec_id", "country", F.col("embedding").alias("vec")), 2.0)
+
+
+@query("""SELECT entity_id AS q_id, coalesce(array_to_string(list(s.rec_id ORDER BY s.score DESC, s.rec_id) FILTER (WHERE a.q_id IS NOT NULL), ','), '') AS matched, coalesce(array_to_string(list(s.rec_id ORDER BY s.score DESC, s.rec_id) FILTER (WHERE s.rec_id IS NOT NULL), ','), '') AS candidates,
+  coalesce(array_to_string(list(printf('%.6f', s.score) ORDER BY s.score DESC, s.rec_id) FILTER (WHERE s.rec_id IS NOT NULL), ','), '') AS scores FROM t_norm n LEFT JOIN t_scored s ON s.q_id = n.entity_id LEFT JOIN t_acc a ON a.q_id = s.q_id AND a.rec_id = s.rec_id WHERE n.src = 1 GROUP BY entity_id""")
+def submission_rows(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    scored = p.scored().select(*PAIR)
+    return D.submission(scored, D.accept(scored, RULE), p.queries)
+
+
+@query()
+def resolve_entities(spark, sf_dir):
+    """The whole chain: retrieval, features, blended score, rule, conflict resolution; one row per query."""
+    p = Plan(spark, sf_dir)
+    scored = C.label(S.fuzzy_features(p.features()).withColumn("score", X.base_score()), p.truth).select(*PAIR)
+    accepted = D.resolve(D.accept(scored, D.Rule(0.55, 0.08)), "production")
+    return D.submission(scored, accepted, p.queries)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
