@@ -17,7 +17,10 @@ from .functions import text as N
 from .operators import candidates as C
 from .operators import decisions as D
 from .operators import diagnostics as G
+from .operators import model as M
 from .operators import retrieval as R
+from .operators import sampling as P
+from .operators import validate as V
 from .plans import fixture
 from .plans.oracle import F_HALF, sql
 
@@ -216,10 +219,10 @@ def pair_set_features(spark, sf_dir):
     return Plan(spark, sf_dir).features().select(*_KEYS, "q_name_rarity", "p_name_rarity", "q_addr_sat", "p_addr_sat", *X.SET_FEATURES)
 
 
-@query("SELECT q_id, src, rec_id, round(CASE WHEN q_core = '' OR p_core = '' THEN 0 ELSE jaro_winkler_similarity(q_core, p_core) END, 4) AS n_jw FROM t_attr")
+@query("SELECT q_id, src, rec_id, round(CASE WHEN q_core = '' OR p_core = '' THEN 0 ELSE jaro_winkler_similarity(q_core, p_core) END, 6) AS n_jw FROM t_attr")
 def pair_jaro_winkler(spark, sf_dir):
     p = Plan(spark, sf_dir)
-    return S.fuzzy_features(C.attributed(p.union(), p.records)).select(*_KEYS, F.round("n_jw", 4).alias("n_jw"))
+    return S.fuzzy_features(C.attributed(p.union(), p.records)).select(*_KEYS, "n_jw")
 
 
 @query()
@@ -399,6 +402,64 @@ def submission_rows(spark, sf_dir):
     return D.submission(scored, D.accept(scored, RULE), p.queries)
 
 
+@query()
+def stratified_split(spark, sf_dir):
+    return P.stratified_split(Plan(spark, sf_dir).universe().select("q_id", "country", "bucket"), 100, 300)
+
+
+@query()
+def entity_folds(spark, sf_dir):
+    return P.folds(Plan(spark, sf_dir).universe().select("q_id", "country"))
+
+
+@query()
+def closed_evaluation_set(spark, sf_dir):
+    q = Plan(spark, sf_dir).queries
+    return P.closed_set(q.select("entity_id", "country", F.coalesce(F.get(F.reverse(N.words("addr")), F.lit(0)), F.lit("")).alias("place")), 120)
+
+
+@query("""SELECT country, count(*) AS n, round(avg(CASE WHEN state <> '' THEN 1.0 ELSE 0.0 END), 6) AS share FROM t_norm WHERE src = 1 GROUP BY country""")
+def state_coverage(spark, sf_dir):
+    return P.coverage(Plan(spark, sf_dir).queries.select("country", F.col("state").alias("place")))
+
+
+_MODEL = ["blk_name", "blk_addr", *X.SET_FEATURES]
+
+
+@query()
+def train_gbt(spark, sf_dir):
+    """Out-of-fold scores of the labelled pairs, two folds."""
+    p = Plan(spark, sf_dir)
+    pairs = P.folds(C.label(p.features(), p.truth), 2).persist()
+    return M.out_of_fold(pairs, _MODEL, 2, rounds=5).select(*_KEYS, "label", "fold", F.round("raw", 6).alias("raw"))
+
+
+@query()
+def calibrate(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    scored = p.scored().select("label", F.col("score").alias("raw")).persist()
+    return M.calibration_table(M.calibrated(M.calibrate(scored), scored))
+
+
+@query("""SELECT count(*) AS n, sum(label)::BIGINT AS n_pos, round(sum(label * cp / cn) / sum(label), 6) AS ap FROM (
+  SELECT label, sum(label) OVER (ORDER BY score DESC) AS cp, count(*) OVER (ORDER BY score DESC) AS cn FROM t_scored)""")
+def average_precision(spark, sf_dir):
+    return M.average_precision(Plan(spark, sf_dir).scored())
+
+
+@query("""SELECT rule, severity, n, examples FROM (
+  SELECT 'matching: missing row' AS rule, 'error' AS severity, count(*) AS n, array_to_string(list(entity_id ORDER BY entity_id)[1:5], ',') AS examples FROM t_norm WHERE src = 1 AND CAST(substr(entity_id, 4) AS BIGINT) % 50 = 0
+  UNION ALL SELECT 'matching: bad prefix', 'error', count(*), 'X9' FROM t_norm WHERE src = 1 AND CAST(substr(entity_id, 4) AS BIGINT) % 50 = 1
+  UNION ALL SELECT 'match outside candidates', 'warning', count(*), array_to_string(list(entity_id ORDER BY entity_id)[1:5], ',') FROM t_norm WHERE src = 1 AND CAST(substr(entity_id, 4) AS BIGINT) % 50 = 1) WHERE n > 0""")
+def validate_submission(spark, sf_dir):
+    """Result rows with faults put in by id: some rows left out, some with an id of no source."""
+    p = Plan(spark, sf_dir)
+    d = F.substring("q_id", 4, 30).cast("long") % 50
+    rows = D.submission(p.scored().select(*PAIR), p.accepted().select(*PAIR), p.queries)
+    matching = rows.where(d != 0).select("q_id", F.when(d == 1, F.concat_ws(",", F.nullif("matched", F.lit("")), F.lit("X9"))).otherwise(F.col("matched")).alias("ids"))
+    return V.validate(matching, rows.select("q_id", F.col("candidates").alias("ids")), rows.select("q_id"), p.pool.select(F.col("entity_id").alias("id")))
+
+
 @query()
 def resolve_entities(spark, sf_dir):
     """The whole chain: retrieval, features, blended score, rule, conflict resolution; one row per query."""

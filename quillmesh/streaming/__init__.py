@@ -1,0 +1 @@
+"""Intentionally empty: the capability set that this library covers is batch only."""
