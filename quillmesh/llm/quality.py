@@ -78,9 +78,10 @@ def references(docs: DataFrame, text: str = "text") -> dict[str, tuple[list[floa
     return out
 
 
-def _distance(counts: str, shares: dict[str, list[float]]) -> Column:
-    """Jensen-Shannon distance of a histogram of counts from its language's shares; 0 if it is empty."""
-    own = F.lit(None)
+def _distance(counts: str, shares: dict[str, list[float]]) -> tuple[Column, Column]:
+    """The total of a histogram of counts, and its Jensen-Shannon distance from its language's shares (from the
+    column with the total; 0 if that is 0)."""
+    own = F.lit(None).cast("array<double>")
     for lang, values in shares.items():
         own = F.when(F.col("__lang") == lang, F.array(*[F.lit(float(v)) for v in values])).otherwise(own)
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
