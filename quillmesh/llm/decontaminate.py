@@ -239,8 +239,10 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows without a hit, with the columns they had."""
-    return annotate(docs, benchmark).where("n_hit = 0").select(*docs.columns)
+    """Rows without a hit, with the columns they had (those with the names of results too)."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in RESULT.names}
+    kept = annotate(docs.withColumnsRenamed(own), benchmark).where("n_hit = 0").drop(*RESULT.names)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def brute_force(texts: list[str | None], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[dict]:

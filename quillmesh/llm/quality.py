@@ -135,8 +135,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns they had."""
-    return annotate(docs).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that pass, with the columns they had (those with the names of results too)."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in RESULTS}
+    kept = annotate(docs.withColumnsRenamed(own)).where("kept").drop(*RESULTS)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def brute_force(text: str | None) -> tuple[int, int, int, int, int, bool]:
