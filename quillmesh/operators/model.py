@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +32,22 @@ def predict(model, pairs: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def save(model, path: str) -> None:
+    """A classifier or calibrator, in Spark ML's own format."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str, kind: str = "gbt"):
+    """What ``save`` wrote; kind is one of KINDS or ``isotonic``."""
+    classes = {"isotonic": IsotonicRegressionModel, "forest": RandomForestClassificationModel}
+    return classes.get(kind, GBTClassificationModel).load(path)
+
+
+def final_rounds(best: list[int]) -> int:
+    """Rounds of the final model from the best rounds of its folds."""
+    return int(sum(best) / len(best) * (1 + 1 / len(best)))
+
+
 def out_of_fold(pairs: DataFrame, columns: list[str], k: int, kind: str = "gbt", rounds: int = 20) -> DataFrame:
     """``pairs`` (with fold) scored by models that have not seen their fold."""
     out = None
