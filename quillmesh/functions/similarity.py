@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs(a: str, b: str) -> int:
@@ -93,7 +94,7 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def _kernel(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([round(f(x, y), 6) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 

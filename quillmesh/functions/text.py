@@ -11,6 +11,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicon as L
 
@@ -66,7 +67,7 @@ def _brahmic(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_scripts(s: pd.Series) -> pd.Series:
     return s.map(_brahmic)
 
