@@ -25,3 +25,11 @@ def test_oracles_are_of_queries():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_names_without_a_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=entry.ROOT)
+    assert done.returncode == 0, done.stderr
