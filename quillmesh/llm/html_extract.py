@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Boosted
+from .storage import least_hashes
 
 SAMPLE_PAGES = 200
 SAMPLE_CHARS = 100_000
@@ -308,8 +309,8 @@ def extract(pages: DataFrame, html: str = "html", model: Boosted | None = None)
     spark = pages.sparkSession
     if model is None:
         keys = [c for c in ("page_id", "url") if c in pages.columns] or [html]
-        few = pages.where(F.length(html) <= SAMPLE_CHARS).select(html, F.xxhash64(*keys).alias("h")).orderBy("h").limit(SAMPLE_PAGES)
-        model = fit([r[0] for r in few.collect()])
+        few = least_hashes(pages.where(F.length(html) <= SAMPLE_CHARS).select(html, *[k for k in keys if k != html]), keys, SAMPLE_PAGES)
+        model = fit([r[0] for r in few.select(html).collect()])
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
