@@ -455,7 +455,7 @@ def validate_submission(spark, sf_dir):
     """Result rows with faults put in by id: some rows left out, some with an id of no source."""
     p = Plan(spark, sf_dir)
     d = F.substring("q_id", 4, 30).cast("long") % 50
-    rows = D.submission(p.scored().select(*PAIR), p.accepted().select(*PAIR), p.queries)
+    rows = D.submission(p.scored().select(*PAIR), p.accepted().select(*PAIR), p.queries).persist()  # read by every check
     matching = rows.where(d != 0).select("q_id", F.when(d == 1, F.concat_ws(",", F.nullif("matched", F.lit("")), F.lit("X9"))).otherwise(F.col("matched")).alias("ids"))
     return V.validate(matching, rows.select("q_id", F.col("candidates").alias("ids")), rows.select("q_id"), p.pool.select(F.col("entity_id").alias("id")))
 
