@@ -131,7 +131,7 @@ def digits(c: Column | str) -> Column:
 
 def raw_state(country: Column, address: Column | str) -> Column:
     """State named by a comma part of a raw address, the last first: US codes, names of Indian states."""
-    pieces = F.reverse(F.transform(F.split(_text(address), ","), F.trim))
+    pieces = F.reverse(F.transform(F.split(_text(address), ","), lambda x: F.trim(x)))
     us = F.filter(F.transform(pieces, F.upper), lambda x: x.isin(L.US_CODES))
     india = F.filter(F.transform(pieces, F.lower), lambda x: x.isin(L.INDIA_STATES))
     own = F.when(country == "US", us).when(country == "India", india)
@@ -150,7 +150,7 @@ def id_code(entity_id: Column) -> Column:
 
 def parse_ids(cell: Column | str) -> Column:
     """Distinct trimmed ids of a comma-joined cell."""
-    return F.array_distinct(F.filter(F.transform(F.split(_text(cell), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(_text(cell), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def match_count(cell: Column | str) -> Column:

@@ -24,7 +24,7 @@ def list_findings(rows: DataFrame, required: DataFrame, valid: DataFrame | None
     checks = [
         _finding(rows.where(F.col("ids").isNull() & (F.trim("q_id") != "")), f"{name}: row without tab", "error", "q_id"),
         _finding(rows.groupBy("q_id").count().where("count > 1"), f"{name}: duplicate row", "error", "q_id"),
-        _finding(rows.where(F.size(raw) > F.size(F.array_distinct(F.transform(raw, F.trim)))), f"{name}: repeated id", "error", "q_id"),
+        _finding(rows.where(F.size(raw) > F.size(F.array_distinct(F.transform(raw, lambda x: F.trim(x))))), f"{name}: repeated id", "error", "q_id"),
         _finding(ids.where(F.col("id").startswith("S1-")), f"{name}: match in source 1", "error", "id"),
         _finding(ids.where(~F.col("id").rlike("^S[123]-")), f"{name}: bad prefix", "error", "id"),
         _finding(required.select("q_id").distinct().join(rows, "q_id", "left_anti"), f"{name}: missing row", "error", "q_id"),
