@@ -5,7 +5,7 @@
    and cuts the sorted entries by hash range. A cut is one compressed row: hash deltas, word places and the texts'
    row numbers. So the shuffle carries some 8 bytes a window, and a window that millions of texts share sends one
    entry per group, not one per text.
-2. Each hash range counts: a hash of two entries or more is repeated, and its places go back to their texts.
+2. Each hash range counts: a hash of two entries or more is repeated, and its places go back, packed by blocks of rows.
 3. Each text merges the windows that start at its places into maximal intervals and drops the words in them.
 
 Row numbers are those of the scan, so the input has to be a table (files); pass ``stable=False`` for anything
@@ -33,6 +33,8 @@ from .storage import materialize, parts
 
 WINDOW = 35
 GROUP_BYTES = 24 << 20
+#: Rows whose repeated places travel together: 2**BLOCK_BITS consecutive ones of a partition.
+BLOCK_BITS = 10
 ROW = "__row"
 
 
@@ -56,13 +58,30 @@ def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def _by_row(rows: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Sorted word places of a group as one binary value (uint32 positions) for each text that has some."""
+def _by_block(rows: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Sorted word places of a group, one packed value (rows in the block, places each, positions) for each block of rows."""
     text = np.searchsorted(first, places, "right") - 1
     cut = np.flatnonzero(np.diff(text, prepend=-1))
     position = (places - first[text]).astype(np.uint32)
-    offsets = np.append(cut, len(places)).astype(np.int64) * 4
-    return rows[text[cut]], pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(position.tobytes())]).cast(pa.binary())
+    counts, own = np.diff(np.append(cut, len(places))).astype(np.uint32), rows[text[cut]]
+    block = own >> BLOCK_BITS
+    edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
+    ends = np.append(cut, len(places)).tolist()
+    return block[edges[:-1]].tolist(), [_pack((own[a:b] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16), counts[a:b], position[ends[a] : ends[b]]) for a, b in zip(edges, edges[1:])]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, packed values) to one row of word places (uint32) for each text that has some."""
+    for batch in batches:
+        for block, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parts_ = [_unpack(x, [np.uint16, np.uint32, np.uint32]) for x in blobs]
+            row = np.concatenate([np.repeat(r, c) for r, c, _ in parts_])
+            place = np.concatenate([p for _, _, p in parts_])
+            order = np.argsort(row, kind="stable")
+            row, place = row[order], place[order]
+            cut = np.flatnonzero(np.diff(row.astype(np.int64), prepend=-1))
+            ends = np.append(cut, len(row)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array((block << BLOCK_BITS) + row[cut].astype(np.int64)), pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=[ROW, "places"])
 
 
 def _windows(window: int, n_parts: int, text: str):
@@ -132,15 +151,19 @@ def _windows(window: int, n_parts: int, text: str):
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """The places of repeated windows of one hash range, by row."""
-    rows_out, places_out = [], []
+    """The places of repeated windows of one hash range, by block of rows."""
+    blocks, blobs = [], []
+
+    def emit(*places_of: np.ndarray) -> None:
+        at_blocks, packed = _by_block(*places_of)
+        blocks.extend(at_blocks)
+        blobs.extend(packed)
+
     hashes, owners, places, flags, texts = [], [], [], [], []
     for known, blob in zip(table["known"].to_pylist(), table["blob"]):
         if known:
             at, rows, first = _unpack(blob.as_buffer(), [np.uint32, np.int64, np.int64])
-            r, p = _by_row(rows, first, at.astype(np.int64))
-            rows_out.append(r)
-            places_out.append(p)
+            emit(rows, first, at.astype(np.int64))
             continue
         h, at, flag, rows, first = _unpack(blob.as_buffer(), [np.uint64, np.uint32, np.uint8, np.int64, np.int64])
         with np.errstate(over="ignore"):
@@ -161,11 +184,8 @@ def _count(table: pa.Table) -> pa.Table:
         cuts = np.searchsorted(owner[hit], np.arange(len(texts) + 1))
         for i, (rows, first) in enumerate(texts):
             if cuts[i] < cuts[i + 1]:
-                r, p = _by_row(rows, first, at[hit[cuts[i] : cuts[i + 1]]].astype(np.int64))
-                rows_out.append(r)
-                places_out.append(p)
-    rows = np.concatenate(rows_out) if rows_out else np.zeros(0, np.int64)
-    return pa.table({ROW: pa.array(rows, pa.int64()), "places": pa.chunked_array(places_out, pa.binary()).combine_chunks() if places_out else pa.array([], pa.binary())})
+                emit(rows, first, at[hit[cuts[i] : cuts[i + 1]]].astype(np.int64))
+    return pa.table({"block": pa.array(blocks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def annotate(docs: DataFrame, window: int = WINDOW, text: str = "text", stable: bool = True, kept_text: bool = True) -> DataFrame:
@@ -179,8 +199,8 @@ def annotate(docs: DataFrame, window: int = WINDOW, text: str = "text", stable:
     source = source.withColumn(ROW, F.monotonically_increasing_id())
     n_parts = 2 * parts(docs.sparkSession)
     entries = source.select(ROW, text).mapInArrow(_windows(window, n_parts, text), "part int, known boolean, blob binary")
-    places = entries.groupBy("part").applyInArrow(_count, f"{ROW} long, places binary")
-    found = places.groupBy(ROW).agg(F.collect_list("places").alias("places"))
+    places = entries.groupBy("part").applyInArrow(_count, "block long, blob binary")
+    found = places.groupBy("block").agg(F.collect_list("blob").alias("blobs")).mapInArrow(_split, f"{ROW} long, places binary")
     joined = source.join(found, ROW, "left").drop(ROW)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept_text", T.StringType())] * kept_text
@@ -192,9 +212,9 @@ def annotate(docs: DataFrame, window: int = WINDOW, text: str = "text", stable:
                 starts, ends, first = K.spans(K.NOT_SPACE[data], offsets)
                 n = len(starts)
                 change = np.zeros(n + 1, np.int64)
-                for i, blobs in enumerate(rows.column(rows.schema.get_field_index("places")).to_pylist()):
-                    if blobs:
-                        p = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64) + first[i]
+                for i, found_here in enumerate(rows.column(rows.schema.get_field_index("places")).to_pylist()):
+                    if found_here:
+                        p = np.frombuffer(found_here, np.uint32).astype(np.int64) + first[i]
                         np.add.at(change, p, 1)
                         np.add.at(change, p + window, -1)
                 gone = np.cumsum(change)[:n] > 0
