@@ -137,7 +137,9 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they had (those with the names of results too)."""
     own = {c: f"__own_{c}" for c in docs.columns if c in RESULTS}
-    kept = annotate(docs.withColumnsRenamed(own)).where("kept").drop(*RESULTS)
+    # a row number between the columns and the filter keeps the optimizer from writing all of them out in the filter
+    fenced = annotate(docs.withColumnsRenamed(own)).withColumn("__fence", F.monotonically_increasing_id())
+    kept = fenced.where(F.col("kept") & (F.col("__fence") >= 0)).drop("__fence", *RESULTS)
     return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
