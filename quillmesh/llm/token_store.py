@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .pieces import Vocabulary, default_vocabulary, pieces_of, split_text, vocabulary
-from .storage import materialize, parts, shared_dir
+from .storage import least_hashes, materialize, parts, shared_dir
 
 END_ID = 1
 MAGIC = b"QMTOKEN1"
@@ -62,23 +62,32 @@ def _maker_for(path: str):
     return make
 
 
-def _encode_slice(cache, data: np.ndarray, offsets: np.ndarray, dtype: str) -> list[np.ndarray]:
-    numbers, first = cache.split(data, offsets)
-    values = cache.values
-    order, bounds = numbers.tolist(), first.tolist()
-    out = []
-    for a, b in zip(bounds, bounds[1:]):
-        ids = [i for x in order[a:b] for i in values[x]]
-        ids.append(END_ID)
-        out.append(np.array(ids, dtype))
-    return out
+class _Flat:
+    """The ids of a cache's pieces one after another; piece 0 is the end id."""
+
+    def __init__(self) -> None:
+        self.of: object = None
+
+    def encode(self, cache, data: np.ndarray, offsets: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, an end after each, and each text's first (len + 1)."""
+        numbers, first = cache.split(data, offsets)
+        if self.of is not cache.values:
+            self.of, self.ids, self.sizes = cache.values, np.array([END_ID], dtype), np.ones(1, np.int64)
+        new = cache.values[len(self.sizes) - 1 :]
+        if new:
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), dtype, int(sizes.sum()))])
+            self.sizes = np.concatenate([self.sizes, sizes])
+        starts = np.cumsum(self.sizes) - self.sizes
+        order = np.insert(numbers + 1, first[1:], 0)
+        sizes = self.sizes[order]
+        return self.ids[K.ragged(starts[order], sizes)], np.concatenate([[0], np.cumsum(sizes)])[first + np.arange(len(first))]
 
 
 def train_dictionary(docs: DataFrame, path: str, dtype: str) -> bytes:
     """From the stated sample; empty where it is too small to train on."""
     make = _maker_for(path)(vocabulary(path))
-    sample = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    rows = sample.orderBy("h").limit(SAMPLE_DOCS).select("text").collect()
+    rows = least_hashes(docs, ["doc_id", "text"], SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).collect()
     vocab = vocabulary(path)
     samples = []
     for row in rows:
@@ -117,10 +126,14 @@ def write_store(docs: DataFrame, uri: str, path: str | None = None, shards: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = pieces_of(path, "library", _maker_for(path))
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw)) if raw else zstandard.ZstdCompressor(level=LEVEL)
+        flat = _Flat()
         for batch in batches:
             for rows, data, offsets in K.slices(batch, "text"):
-                ids = _encode_slice(cache, data, offsets, dtype)
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack.compress(x.tobytes()) for x in ids], pa.binary())], names=["doc_id", "n", "payload"])
+                ids, cuts = flat.encode(cache, data, offsets, dtype)
+                raw_ids, width = ids.tobytes(), ids.dtype.itemsize
+                bounds = (cuts * width).tolist()
+                payload = [pack.compress(raw_ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(payload, pa.binary())], names=["doc_id", "n", "payload"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
