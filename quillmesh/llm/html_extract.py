@@ -11,10 +11,11 @@ Decoding takes the choice of on and off for all nodes that has the greatest sum
 nothing below an off node is on, so that an ancestor and a descendant never contradict each other.
 
 Text is that of the blocks that are on, in page order: character references decoded, white space runs one space,
-trimmed, joined by an empty line. Scripts, styles, templates, form controls, comments and tags have no text.
+trimmed, joined by an empty line. Scripts, styles, templates, form controls, drawings, players, comments and tags have no text.
 
 Defined cases: a null or empty page has the empty text; repeated rows are extracted alike; unclosed and crossed tags
-are closed as their parents end; extra columns pass through, those with the names of the results are replaced.
+are closed as their parents end, and so are elements without text, but for script, style and title, which go on to
+the page's end; elements without text may close themselves; extra columns pass through, those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ BATCH_PAGES = 128
 
 BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hgroup center".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script style noscript template svg iframe object select textarea button canvas video audio math title head".split()
+SILENT = set("script style noscript template svg iframe object select textarea button canvas video audio annotation annotation-xml title".split())
 #: An open element of the key ends where one of the values begins.
 CLOSES_P = BLOCK - {"html", "body"}
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
@@ -50,7 +51,7 @@ POOR = re.compile(r"^(nav|menu|header|masthead|footer|sidebar|side|ad|ads|advert
 ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "form": 1, "dialog": 1, "alert": 1}
 OFF_TAGS = {"nav", "footer", "aside", "form", "header"}
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|canvas|video|audio|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|title(?![^>]*/>))(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<",
     re.S | re.I,
 )
@@ -71,20 +72,23 @@ class Page:
         self.chunks: list[tuple[int, int, str, bool]] = []  # node, block run, text, inside a link
         stack: list[tuple[str, int]] = [("#", 0)]
         open_: dict[str, int] = {}
-        node = run = at = 0
+        node = run = at = silent = 0
 
         def text(piece: str) -> None:
+            if silent:
+                return
             if piece and not piece.isspace():
                 self.chunks.append((node, run, references.unescape(piece), open_.get("a", 0) > 0))
             elif piece:
                 self.chunks.append((node, run, " ", False))
 
         def pop_to(depth: int) -> None:
-            nonlocal node, run
+            nonlocal node, run, silent
             while len(stack) > depth:
                 name, _ = stack.pop()
                 open_[name] -= 1
-                run += name in BLOCK
+                silent -= name in SILENT
+                run += name in BLOCK and not silent
             node = stack[-1][1]
 
         for m in TOKEN.finditer(source):
@@ -103,9 +107,17 @@ class Page:
                     while stack[depth][0] != name:
                         depth -= 1
                     pop_to(depth)
-                elif name == "p":
+                elif name == "p" and not silent:
                     run += 1
                 continue
+            if name in SILENT and m[4].endswith("/"):
+                continue
+            if name in SILENT or silent:  # tags in silent elements make no nodes and end nothing around them
+                if name not in VOID:
+                    stack.append((name, node))
+                    open_[name] = open_.get(name, 0) + 1
+                    silent += name in SILENT
+                continue
             if name == "br":
                 self.chunks.append((node, run, " ", False))
             if name in VOID:
