@@ -21,7 +21,7 @@ WINDOW = 8
 MIN_CHARS = 200
 MIN_WORDS = 60
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.45
+MAX_WORD_DISTANCE = 0.25
 
 #: Common words of each language; "" is for all other languages.
 LANGUAGES = {
