@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,14 +24,16 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written tables: a join with one can be split where a node has very many links
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()  # v is smaller than u
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.where("u <> v").distinct(), "large")  # v is smaller than u
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "stars")
-        now = _state(edges)
+        small = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        now = _state(small)
+        discard(least, large, low, edges)
+        edges = small
         if now == state:
             break
         state = now
