@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,9 +41,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing lazy reads any more."""
+    """Delete tables of ``materialize`` that nothing lazy reads any more. The shuffle files of the jobs that made them
+    go when the driver collects its garbage, which it may not do for long by itself."""
     for table in tables:
         remove(table.sparkSession, table._scratch)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:
