@@ -67,18 +67,18 @@ WITH d AS (
 m AS (SELECT *, CASE lg {lists} END AS own, [{chars}]::BIGINT[] AS hc FROM l{len(Q.CLASSES) - 1}),
 h AS (SELECT *, list_transform(own, lambda k: len(list_filter(w, lambda x: lower(x) = k))) AS common FROM m),
 f AS (SELECT *, list_append(common, len(w) - list_sum(common))::BIGINT[] AS hw FROM h),
-refs AS (SELECT lg, {sums('hc', nc)} AS rc, {sums('hw', nw)} AS rw FROM f GROUP BY lg),
 x AS (SELECT rid, p, sha256(array_to_string(w[p : p + {Q.WINDOW - 1}], ' ')) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - {Q.WINDOW - 2})) AS p FROM d)),
 r AS (SELECT rid, g FROM x GROUP BY rid, g HAVING count(*) > 1),
 n AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + {Q.WINDOW})) AS q FROM x JOIN r USING (rid, g)) GROUP BY rid),
+e AS (SELECT f.*, coalesce(n, 0) AS n, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed FROM f LEFT JOIN n USING (rid)),
+refs AS (SELECT lg, {sums('hc', nc)} AS rc, {sums('hw', nw)} AS rw FROM e WHERE NOT base_failed GROUP BY lg),
 b AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, hc[{Q.SYMBOLS + 1}] AS n_symbols,
+  SELECT doc_id, base_failed, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, hc[{Q.SYMBOLS + 1}] AS n_symbols,
     (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD}))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})))))::BIGINT AS n_dup_lines,
-    coalesce(n, 0)::BIGINT AS n_repeat_words, list_sum(hc) AS size, {distance('hc', 'rc', nc)} AS dc, {distance('hw', 'rw', nw)} AS dw
-  FROM f JOIN refs USING (lg) LEFT JOIN n USING (rid)),
-z AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+    n::BIGINT AS n_repeat_words, list_sum(hc) AS size, {distance('hc', 'rc', nc)} AS dc, {distance('hw', 'rw', nw)} AS dw
+  FROM e LEFT JOIN refs USING (lg))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (size >= {Q.MIN_CHARS} AND dc > {Q.MAX_CHAR_DISTANCE}) AND NOT (n_words >= {Q.MIN_WORDS} AND dw > {Q.MAX_WORD_DISTANCE}) AS kept FROM z
+  NOT base_failed AND NOT (size >= {Q.MIN_CHARS} AND dc > {Q.MAX_CHAR_DISTANCE}) AND NOT (n_words >= {Q.MIN_WORDS} AND dw > {Q.MAX_WORD_DISTANCE}) AS kept FROM b
 """
 
 

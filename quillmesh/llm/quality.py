@@ -1,14 +1,17 @@
 """Quality rules: base counts, and the divergence of a text's histograms from those of its language.
 
 For each language of LANGUAGES (all other texts are one more group) the references are two histograms summed over
-all texts of the language: characters by class, and the language's common words against all others. A text whose
-Jensen-Shannon distance (base 2, square root) from the reference of its language is above MAX_CHAR_DISTANCE or
-MAX_WORD_DISTANCE is rejected; texts below MIN_CHARS or MIN_WORDS are too short to be judged by that histogram and
-pass it. Everything is columns and higher-order functions; the references are one row per language (5 at most).
-
-Defined cases: a null or empty text has no words and fails the base rule; a null or unknown language is the group
-of others; repeated rows are judged alike; extra columns pass through, those with the names of the results are
-replaced.
+all texts of the language that pass the base rule: characters by class, and the language's common words against all
+others. A text whose Jensen-Shannon distance (base 2, square root) from the reference of its language is above
+MAX_CHAR_DISTANCE or MAX_WORD_DISTANCE is rejected; texts below MIN_CHARS or MIN_WORDS are too short to be judged by
+that histogram and pass it. Everything is columns and higher-order functions. Counts and histograms are computed
+once and written to the shared folder; the references are one row per language of them (5 at most), so that the
+second step reads a few numbers a text.
+
+Defined cases: an empty table gives no rows; a null or empty text has no words and fails the base rule; a null or
+unknown language is the group of others; a group without texts that pass has a flat reference (none of its texts is
+judged by it); texts may be as long as Spark holds in a row; a distance equal to its limit passes; repeated rows are
+judged alike; extra columns pass through, those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
 MIN_CHARS = 200
@@ -62,14 +67,12 @@ def _histograms(df: DataFrame, text: str) -> DataFrame:
     ).drop("__list", "__hits")
 
 
-def references(docs: DataFrame, text: str = "text") -> dict[str, tuple[list[float], list[float]]]:
-    """For each language its two histograms as shares, over all texts of docs."""
-    keep = [c for c in ("lang",) if c in docs.columns]
-    df = _histograms(docs.select(text, *keep), text)
+def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """For each language its two histograms as shares, over all texts of ``measure`` that pass the base rule."""
     n = len(CLASSES) + 1
     sums = [F.sum(F.get("__chars", F.lit(i))).alias(f"c{i}") for i in range(n)] + [F.sum(F.get("__common", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)]
-    out = {}
-    for row in df.groupBy("__lang").agg(*sums).collect():  # one row for each of LANGUAGES
+    out = {lang: tuple([1 / k] * k for k in (n, N_COMMON + 1)) for lang in LANGUAGES}
+    for row in measured.where("not base_failed").groupBy("__lang").agg(*sums).collect():  # one row for each of LANGUAGES
         shares = []
         for values in ([row[f"c{i}"] for i in range(n)], [row[f"w{i}"] for i in range(N_COMMON + 1)]):
             total = sum(values)
@@ -113,33 +116,42 @@ def _base(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with RESULTS."""
-    refs = references(docs, text)
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the base counts and the two histograms."""
     columns = [c for c in docs.columns if c not in RESULTS]
-    df = _base(_histograms(docs.select(*columns), text))
-    df = df.withColumn("n_symbols", F.get("__chars", F.lit(SYMBOLS)))
+    df = _base(_histograms(docs.select(*columns), text)).withColumn("n_symbols", F.get("__chars", F.lit(SYMBOLS)))
+    return df.drop("__t", "__w")
+
+
+def judge(measured: DataFrame) -> DataFrame:
+    """A table of ``measure`` with RESULTS in place of the histograms."""
+    refs = references(measured)
     chars, char_distance = _distance("__chars", {k: v[0] for k, v in refs.items()})
     words, word_distance = _distance("__common", {k: v[1] for k, v in refs.items()})
-    df = df.withColumn("__chars_n", chars).withColumn("__common_n", words)
+    df = measured.withColumn("__chars_n", chars).withColumn("__common_n", words)
     df = df.withColumn("char_distance", char_distance).withColumn("word_distance", word_distance)
     odd_chars = (F.col("__chars_n") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
     odd_words = (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     df = df.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words)
-    return df.select(*columns, *RESULTS)
+    return df.drop("__lang", "__chars", "__common", "__chars_n", "__common_n")
+
+
+def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with RESULTS."""
+    columns = [c for c in docs.columns if c not in RESULTS]
+    return judge(materialize(measure(docs, text), "measured")).select(*columns, *RESULTS)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns and the two distances."""
-    return annotate(docs.select("doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """The contract's columns; the texts are not written."""
+    measured = materialize(measure(docs.select("doc_id", "text", "lang")).drop("text", "lang"), "measured")
+    return judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they had (those with the names of results too)."""
     own = {c: f"__own_{c}" for c in docs.columns if c in RESULTS}
-    # a row number between the columns and the filter keeps the optimizer from writing all of them out in the filter
-    fenced = annotate(docs.withColumnsRenamed(own)).withColumn("__fence", F.monotonically_increasing_id())
-    kept = fenced.where(F.col("kept") & (F.col("__fence") >= 0)).drop("__fence", *RESULTS)
+    kept = annotate(docs.withColumnsRenamed(own)).where("kept").drop(*RESULTS)
     return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
