@@ -13,7 +13,8 @@ nothing below an off node is on, so that an ancestor and a descendant never cont
 Text is that of the blocks that are on, in page order: character references decoded, white space runs one space,
 trimmed, joined by an empty line. Scripts, styles, templates, form controls, drawings, players, comments and tags have no text.
 
-Defined cases: a null or empty page has the empty text; repeated rows are extracted alike; unclosed and crossed tags
+Defined cases: an empty table gives no rows; a null or empty page has the empty text; pages may be as long as Spark
+holds in a row, and take time in proportion; where a node's choices tie it is off; repeated rows are extracted alike; unclosed and crossed tags
 are closed as their parents end, and so are elements without text, but for script, style and title, which go on to
 the page's end; elements without text may close themselves; extra columns pass through, those with the names of the results are replaced.
 """
@@ -23,7 +24,7 @@ from __future__ import annotations
 import html as references
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +51,74 @@ GOOD = re.compile(r"^(article|content|main|post|story|entry|body|text|prose|main
 POOR = re.compile(r"^(nav|menu|header|masthead|footer|sidebar|side|ad|ads|advert|advertisement|sponsor|sponsored|promo|banner|cookie|consent|notice|alert|popup|modal|comment|comments|reply|replies|respond|disqus|share|sharing|social|related|recommended|widget|form|login|signup|subscribe|newsletter|breadcrumb|breadcrumbs|pagination|pager|tags|toolbar|copyright|legal|search)$")
 ROLES = {"navigation": 1, "banner": 1, "contentinfo": 1, "complementary": 1, "search": 1, "form": 1, "dialog": 1, "alert": 1}
 OFF_TAGS = {"nav", "footer", "aside", "form", "header"}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title(?![^>]*/>))(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<",
-    re.S | re.I,
-)
+#: Elements whose content is no markup: up to their end tag, or the page's end.
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "title")}
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+QUOTE_OR_END = re.compile("[>\"']")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 TAGS = ["p", "h", "li", "list", "div", "section", "article", "nav", "aside", "header", "footer", "form", "table", "quote", "other"]
 _TAG = {"p": 0, **{f"h{i}": 1 for i in range(1, 7)}, "hgroup": 1, "li": 2, "dt": 2, "dd": 2, "ul": 3, "ol": 3, "dl": 3, "div": 4, "center": 4, "section": 5, "article": 6, "main": 6, "nav": 7, "aside": 8, "header": 9, "footer": 10, "form": 11, "fieldset": 11, **dict.fromkeys("table thead tbody tfoot tr td th caption".split(), 12), "blockquote": 13, "pre": 13, "figure": 13, "figcaption": 13}
 
 
+def markup(source: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before, end tag?, name, attributes) of each tag in turn, and at last the rest with an empty name; comments,
+    declarations and what stands in RAW elements are left out.
+
+    A tag ends at the first > outside quotes, a quote that nothing closes being a plain character. Where no such > is
+    left on the page, it ends at the first > at all, and so do all tags after it; where there is none, < is text. So
+    every character is looked at a bounded number of times.
+    """
+    at = begin = 0
+    quoted, closes, size = True, {'"': True, "'": True}, len(source)
+    held: list[str] = []
+
+    def end_of(place: int) -> int:
+        nonlocal quoted
+        i = place
+        while quoted:
+            m = QUOTE_OR_END.search(source, i)
+            if m is None:
+                quoted = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                close = source.find(m[0], m.end()) if closes[m[0]] else -1
+                closes[m[0]] = close >= 0
+                i = close + 1 if close >= 0 else m.end()
+        return source.find(">", place)
+
+    while (at := source.find("<", at)) >= 0:
+        tag, name, attributes = None, "", ""
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            after = end + 3 if end >= 0 else size
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at)
+            if end < 0:
+                break
+            after = end + 1
+        elif (tag := NAME.match(source, at + 1)) is not None:
+            end = end_of(tag.end())
+            if end < 0:
+                break
+            name, attributes, after = tag[2].lower(), source[tag.end() : end], end + 1
+        else:
+            at += 1
+            continue
+        held.append(source[begin:at])
+        at = begin = after
+        if tag is None:
+            continue
+        if not tag[1] and name in RAW and not (name == "title" and attributes.endswith("/")):
+            close = RAW[name].search(source, after)
+            at = begin = close.end() if close else size
+            continue
+        yield "".join(held), bool(tag[1]), name, attributes
+        held.clear()
+    yield "".join([*held, source[begin:]]), False, "", ""
+
+
 class Page:
     """Block nodes of one page in order of their starts, and its text chunks with the node that holds each."""
 
@@ -71,51 +129,49 @@ class Page:
         self.poor: list[int] = [0]
         self.chunks: list[tuple[int, int, str, bool]] = []  # node, block run, text, inside a link
         stack: list[tuple[str, int]] = [("#", 0)]
-        open_: dict[str, int] = {}
-        node = run = at = silent = 0
+        open_: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+        node = run = silent = 0
 
         def text(piece: str) -> None:
             if silent:
                 return
             if piece and not piece.isspace():
-                self.chunks.append((node, run, references.unescape(piece), open_.get("a", 0) > 0))
+                self.chunks.append((node, run, references.unescape(piece), bool(open_.get("a"))))
             elif piece:
                 self.chunks.append((node, run, " ", False))
 
+        def push(name: str) -> None:
+            open_.setdefault(name, []).append(len(stack))
+            stack.append((name, node))
+
         def pop_to(depth: int) -> None:
             nonlocal node, run, silent
             while len(stack) > depth:
                 name, _ = stack.pop()
-                open_[name] -= 1
+                open_[name].pop()
                 silent -= name in SILENT
                 run += name in BLOCK and not silent
             node = stack[-1][1]
 
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                text(source[at : m.start()])
-            at = m.end()
-            name = m[3]
-            if name is None:
-                if m[0] == "<":
-                    text("<")
-                continue
-            name = name.lower()
-            if m[2]:
-                if open_.get(name, 0):
-                    depth = len(stack) - 1
-                    while stack[depth][0] != name:
-                        depth -= 1
-                    pop_to(depth)
+        def innermost(names: Iterable[str]) -> int:
+            return max((open_[x][-1] for x in names if open_.get(x)), default=0)
+
+        for before, end, name, attributes in markup(source):
+            if before:
+                text(before)
+            if not name:
+                break
+            if end:
+                if open_.get(name):
+                    pop_to(open_[name][-1])
                 elif name == "p" and not silent:
                     run += 1
                 continue
-            if name in SILENT and m[4].endswith("/"):
+            if name in SILENT and attributes.endswith("/"):
                 continue
             if name in SILENT or silent:  # tags in silent elements make no nodes and end nothing around them
                 if name not in VOID:
-                    stack.append((name, node))
-                    open_[name] = open_.get(name, 0) + 1
+                    push(name)
                     silent += name in SILENT
                 continue
             if name == "br":
@@ -123,21 +179,14 @@ class Page:
             if name in VOID:
                 run += name == "hr"
                 continue
-            if name in CLOSES_P and open_.get("p", 0):
-                depth = len(stack) - 1
-                while stack[depth][0] != "p":
-                    depth -= 1
-                pop_to(depth)
-            if name in ITEMS and any(open_.get(x, 0) for x in ITEMS[name]):
-                depth = len(stack) - 1
-                while depth and stack[depth][0] not in ITEMS[name] and stack[depth][0] not in LIMITS[name]:
-                    depth -= 1
-                if stack[depth][0] in ITEMS[name]:
-                    pop_to(depth)
+            if name in CLOSES_P and open_.get("p"):
+                pop_to(open_["p"][-1])
+            if name in ITEMS and innermost(ITEMS[name]) > innermost(LIMITS[name]):
+                pop_to(innermost(ITEMS[name]))
             if name in BLOCK:
                 good = poor = 0
-                if m[4] and not m[4].isspace():
-                    for key, value in ATTR.findall(m[4]):
+                if attributes and not attributes.isspace():
+                    for key, value in ATTR.findall(attributes):
                         key, value = key.lower(), value.strip("\"'")
                         if key == "role":
                             poor += ROLES.get(value.lower(), 0)
@@ -155,9 +204,7 @@ class Page:
                 self.poor.append(poor)
                 node = len(self.tag) - 1
                 run += 1
-            stack.append((name, node))
-            open_[name] = open_.get(name, 0) + 1
-        text(source[at:])
+            push(name)
 
     def labels(self) -> np.ndarray | None:
         """1 for nodes that hold main text by the page's own markup; None where it has no such markup."""
