@@ -1,25 +1,29 @@
 """Benchmark decontamination by winnowing.
 
 A text is a sequence of words (runs of digits, a-z after lower-casing A-Z, and characters beyond ASCII).
-Of every ``w`` consecutive ``k``-grams the one with the least hash is kept as a fingerprint, so that any
+Of every ``w`` consecutive ``k``-grams the rightmost one with the least hash is kept as a fingerprint, so that any
 shared span of at least ``w + k - 1 = window`` words shares a fingerprint whatever its place. Fingerprints of
-documents are joined with those of the benchmark, and each joined place is extended to both sides to the
-maximal shared span; spans of ``window`` words or more are hits. An item with fewer words is one window of its
-own length: it is winnowed with ``k = length, w = 1`` (every gram kept), which keeps the guarantee.
-
-The benchmark is the stated query set. It is cut into blocks of bounded bytes, each a broadcast; every document
-is held against every block within one pass over the documents, without a shuffle, whatever the size of the set.
-
-Defined cases: a null or empty text has no words and no hits; a null item text or one without words has no
-window; repeated rows of either table are judged alike; several items with one text all count; an item id of
-null is reported as the string "null"; extra columns pass through, those with the names of the results are
-replaced.
+documents are joined with those of the benchmark. A joined place is extended to both sides over the windows that
+cover it: each that is a window of an item is a hit, and hits that touch or overlap are one span. So a place costs
+``w`` lookups, however often its words occur in the text or in the benchmark. An item with fewer words is one window
+of its own length: it is winnowed with ``k = length, w = 1`` (every gram kept), which keeps the guarantee.
+
+The benchmark's size is measured first. Up to BROADCAST_BYTES of text its fingerprints and windows are broadcast and
+the documents read once, without a shuffle. A larger one is never gathered: the fingerprints of both sides are joined
+by Spark, and texts with a joined place are read again and their windows joined (documents are then numbered by the
+scan, so they have to be a table).
+
+Defined cases: empty tables (no documents: no rows; no items: no hits); a null or empty text has no words and no
+hits; a null item text or one without words has no window; texts may be as long as a batch can hold; equal least
+hashes in a window are settled by the rightmost; repeated rows of either table are judged alike; several items with
+one text all count; an item id of null is reported as the string "null"; extra columns pass through, those with the
+names of the results are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .storage import materialize
 
 WINDOW = 10
 GRAM = 5
-BLOCK_BYTES = 16 << 20
-GROUP_BYTES = 32 << 20
+#: Text and ids of a benchmark that is broadcast.
+BROADCAST_BYTES = 16 << 20
+ROW = "__row"
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 RESULT = T.StructType(
@@ -54,8 +60,9 @@ class Words:
         self.hashes = K.span_hashes(self.data, self.starts, self.ends)
         self.raw = self.data.tobytes()
 
-    def word(self, i: int) -> bytes:
-        return self.raw[self.starts[i] : self.ends[i]]
+    def spell(self, i: int, n: int) -> list[bytes]:
+        """n words from word i on."""
+        return [self.raw[a:b] for a, b in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist())]
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of the k words from each word on, NONE where the text ends before."""
@@ -68,162 +75,198 @@ class Words:
         return out
 
     def fingerprints(self, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes kept by winnowing: each is the least of some window of w grams."""
+        """Places and hashes kept by winnowing: each is the rightmost of the least of some window of w grams."""
         g = self.grams(k)
         if w > 1 and len(g):
             n = self.first[1:] - self.first[:-1]
-            low = np.append(g, np.full(w - 1, NONE))
+            low, place = np.append(g, np.full(w - 1, NONE)), np.arange(len(g) + w - 1)
             width = 1
             while width < w:  # doubling gives the least of w in log2(w) passes
                 step = min(width, w - width)
-                low[: len(low) - step] = np.minimum(low[: len(low) - step], low[step:])
+                right = low[step:] <= low[: len(low) - step]
+                low[: len(low) - step] = np.where(right, low[step:], low[: len(low) - step])
+                place[: len(low) - step] = np.where(right, place[step:], place[: len(low) - step])
                 width += step
-            low = low[: len(g)].copy()
+            place = place[: len(g)]
+            whole = np.ones(len(g), bool)
             tail = np.minimum(n, k + w - 2)  # windows that would leave the text
-            low[K.ragged(self.first[1:] - tail, tail)] = NONE
-            keep = np.zeros(len(g), bool)
-            for s in range(w):
-                m = len(g) - s
-                keep[s:] |= (g[s:] == low[:m]) & (low[:m] != NONE)
-            at = np.flatnonzero(keep)
+            whole[K.ragged(self.first[1:] - tail, tail)] = False
+            at = np.unique(place[whole])
         else:
             at = np.flatnonzero(g != NONE)
         return at, g[at]
 
+    def joined(self, at: np.ndarray, k: int, w: int) -> np.ndarray:
+        """The starts of the windows of k + w - 1 words that cover the k-gram at one of the places ``at``."""
+        starts = np.unique((at[:, None] - np.arange(w)).ravel())
+        text = np.searchsorted(self.first, at, "right") - 1
+        starts = starts[starts >= 0]
+        own = np.searchsorted(self.first, starts, "right") - 1
+        return starts[(starts + k + w - 1 <= self.first[own + 1]) & np.isin(own, text)]
+
+
+def shapes(sizes: Iterable[int], window: int, gram: int) -> list[tuple[int, int, int]]:
+    """(window, k, w) for each length of window that items have."""
+    return [(size, gram, window - gram + 1) if size == window else (size, size, 1) for size in sorted(set(sizes))]
+
+
+def _in(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of h in sorted keys, and which are there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
 
-class Block:
-    """Fingerprints of some benchmark items, sorted for lookups, with the words to extend hits over."""
+def item_windows(words: Words, window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of window: (length, fingerprints, starts of windows, hashes of windows) of its items."""
+    n = words.first[1:] - words.first[:-1]
+    for size, k, w in shapes((int(min(x, window)) for x in n if x), window, gram):
+        mine = np.minimum(n, window) == size
+        at, h = words.fingerprints(k, w)
+        h = h[mine[np.searchsorted(words.first, at, "right") - 1]]
+        g = words.grams(size)
+        starts = np.flatnonzero(g != NONE)
+        starts = starts[mine[np.searchsorted(words.first, starts, "right") - 1]]
+        yield size, np.unique(h), starts, g[starts]
+
+
+class Table:
+    """Fingerprints and windows of the benchmark, sorted for lookups."""
 
     def __init__(self, ids: list, texts: list, window: int, gram: int):
-        self.ids, self.window, self.gram = ["null" if x is None else str(x) for x in ids], window, gram
+        self.ids = ["null" if x is None else str(x) for x in ids]
         raw = [(x or "").encode() for x in texts]
-        offsets = np.cumsum([0, *map(len, raw)])
-        self.words = words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        n = words.first[1:] - words.first[:-1]
-        self.tables = []  # (k, w, sorted hashes, word places)
-        for size in sorted({int(min(x, window)) for x in n if x}):
-            k, w = (gram, window - gram + 1) if size == window else (size, 1)
-            at, h = words.fingerprints(k, w)
-            item = np.searchsorted(words.first, at, "right") - 1
-            keep = (n[item] >= window) if size == window else (n[item] == size)
-            at, h = at[keep], h[keep]
-            order = np.argsort(h, kind="stable")
-            self.tables.append((k, w, h[order], at[order]))
-
-    def hits(self, doc: Words) -> Iterator[tuple[int, int, int]]:
-        """(first word, end, item) of every maximal shared span that covers a window of the item."""
-        item_first = self.words.first
-        for k, w, keys, places in self.tables:
+        words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        self.parts = []  # (window, k, w, fingerprints, window hashes, first of each hash in items, items, words of each hash)
+        for (size, fingerprints, starts, h), (_, k, w) in zip(item_windows(words, window, gram), shapes((int(min(x, window)) for x in np.diff(words.first) if x), window, gram)):
+            item = np.searchsorted(words.first, starts, "right") - 1
+            order = np.lexsort((item, h))
+            h, item, starts = h[order], item[order], starts[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (item[1:] != item[:-1]))
+            h, item, starts = h[new], item[new], starts[new]
+            keys, first = np.unique(h, return_index=True)
+            spelled = [words.spell(i, size) for i in starts[first].tolist()]
+            self.parts.append((size, k, w, fingerprints, keys, np.append(first, len(h)), item, spelled))
+
+    def hits(self, doc: Words) -> Iterator[tuple[int, int, list[str]]]:
+        """(start, end, items) of every window of a text that is an item's and covers a joined fingerprint."""
+        for size, k, w, fingerprints, keys, first, item, spelled in self.parts:
             at, h = doc.fingerprints(k, w)
-            lo = np.searchsorted(keys, h, "left")
-            found = lo < len(keys)
-            found[found] = keys[lo[found]] == h[found]
-            at, h, lo = at[found], h[found], lo[found]
-            hi = np.searchsorted(keys, h, "right")
-            text = np.searchsorted(doc.first, at, "right") - 1
-            done: dict[tuple[int, int], int] = {}  # diagonal -> where the last span on it ends
-            for p, a, b, d in zip(at.tolist(), lo.tolist(), hi.tolist(), text.tolist()):
-                left, right = int(doc.first[d]), int(doc.first[d + 1])
-                for q in places[a:b].tolist():
-                    if done.get((q - p, d), -1) >= p + 1:
-                        continue
-                    item = int(np.searchsorted(item_first, q, "right")) - 1
-                    i0, i1 = int(item_first[item]), int(item_first[item + 1])
-                    s, t = p, q
-                    while s > left and t > i0 and doc.hashes[s - 1] == self.words.hashes[t - 1]:
-                        s, t = s - 1, t - 1
-                    e, f = p, q
-                    while e < right and f < i1 and doc.hashes[e] == self.words.hashes[f]:
-                        e, f = e + 1, f + 1
-                    done[q - p, d] = e
-                    if e - s >= min(self.window, i1 - i0) and all(doc.word(s + i) == self.words.word(t + i) for i in range(e - s)):
-                        yield s, e, item
-
-
-def _blocks(benchmark: DataFrame, window: int, gram: int) -> list:
-    """The benchmark as broadcasts of at most BLOCK_BYTES of text each (a longer item is a block)."""
-    sc, out, ids, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
-
-    def close() -> None:
-        b = sc.broadcast(Block(ids, texts, window, gram))
-        b.unpersist()  # executors fetch it when they need it
-        out.append(b)
-
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1] or "")
-        if size >= BLOCK_BYTES:
-            close()
-            ids, texts, size = [], [], 0
-    if ids or not out:
-        close()
+            starts = doc.joined(at[_in(fingerprints, h)[1]], k, w)
+            if not len(starts):
+                continue
+            g = doc.grams(size)[starts]
+            at, found = _in(keys, g)
+            same: dict[int, bool] = {}
+            for i, key in zip(starts[found].tolist(), at[found].tolist()):
+                if key not in same:  # hashes are equal: compare the words once for each window
+                    same[key] = doc.spell(i, size) == spelled[key]
+                if same[key]:
+                    yield i, i + size, [self.ids[x] for x in item[first[key] : first[key + 1]].tolist()]
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
     return out
 
 
+def _result(words: Words, hits: list[tuple[list, set]]) -> list[pa.Array]:
+    """The columns of RESULT from the hit windows and items of each text."""
+    spans = [_merged(where) for where, _ in hits]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))]
+    values = [words.first[1:] - words.first[:-1], [sum(e - s for s, e in x) for x in spans], [sorted(x) for _, x in hits], spans]
+    return [pa.array(v, k) for v, k in zip(values, kinds)]
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit (words inside a hit), item_ids (sorted as strings, those with a hit window)
-    and hit_spans ([first word, end) of maximal shared spans, merged)."""
-    blocks = _blocks(benchmark, window, gram)
-    names = {f.name for f in RESULT}
-    kept = [c for c in docs.columns if c not in names]
-    schema = T.StructType([*docs.select(*kept).schema.fields, *RESULT.fields])
-
-    def judge(words: Words, found: dict[int, list]) -> dict:
-        n = len(words.first) - 1
-        text_of = lambda s: int(np.searchsorted(words.first, s, "right")) - 1
-        rows: list[tuple[list, set]] = [([], set()) for _ in range(n)]
-        for s, e, item in found:
-            d = text_of(s)
-            rows[d][0].append((s - int(words.first[d]), e - int(words.first[d])))
-            rows[d][1].add(item)
-        hit, ids, spans = [], [], []
-        for where, items in rows:
-            merged: list[list[int]] = []
-            for s, e in sorted(where):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            hit.append(sum(e - s for s, e in merged))
-            ids.append(sorted(items))
-            spans.append(merged)
-        return {"n_words": words.first[1:] - words.first[:-1], "n_hit": hit, "item_ids": ids, "hit_spans": spans}
+    and hit_spans ([first word, end) of hits that touch or overlap)."""
+    kept = [c for c in docs.columns if c not in RESULT.names]
+    docs, benchmark = docs.select(*kept), benchmark.select("item_id", "text")
+    held = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(32))).first()[0] or 0
+    if held > BROADCAST_BYTES:
+        return _annotate_joined(docs, benchmark, window, gram, text)
+    rows = benchmark.collect()  # BROADCAST_BYTES at most
+    shared = docs.sparkSession.sparkContext.broadcast(Table([r[0] for r in rows], [r[1] for r in rows], window, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = None
-        held: list[tuple[pa.RecordBatch, Words]] = []
-        bytes_held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found: list[list] = [[] for _ in held]
-            for b in blocks:
-                block = b.value
-                for out, (_, words) in zip(found, held):
-                    out.extend((s, e, block.ids[i]) for s, e, i in block.hits(words))
-                if len(blocks) > 1:
-                    b._value = None  # one block in memory at a time
-                    del block
-            for (rows, words), out in zip(held, found):
-                more = judge(words, out)
+        table = shared.value
+        for batch in batches:
+            for rows, data, offsets in K.slices(batch, text):
+                words = Words(data, offsets)
+                found: list[tuple[list, set]] = [([], set()) for _ in range(rows.num_rows)]
+                for s, e, items in table.hits(words):
+                    d = int(np.searchsorted(words.first, s, "right")) - 1
+                    found[d][0].append((s - int(words.first[d]), e - int(words.first[d])))
+                    found[d][1].update(items)
                 cols = [rows.column(rows.schema.get_field_index(c)) for c in kept]
-                cols += [pa.array(more[f.name], arrow.field(f.name).type) for f in RESULT]
-                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*(pa.field(c, x.type) for c, x in zip(kept, cols)), *(arrow.field(f.name) for f in RESULT)]))
+                yield pa.RecordBatch.from_arrays([*cols, *_result(words, found)], names=[*kept, *RESULT.names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT.fields]))
+
+
+def _annotate_joined(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, text: str) -> DataFrame:
+    """``annotate`` by joins, for a benchmark of any size."""
+    kept = docs.columns
 
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in K.slices(batch, "text"):
+                words = Words(data, offsets)
+                ids = rows.column(0).cast(pa.string()).fill_null("null")
+                for size, fingerprints, starts, h in item_windows(words, window, gram):
+                    own = pa.array(np.searchsorted(words.first, starts, "right") - 1)
+                    for kind, hashes, names in ((0, fingerprints, pa.nulls(len(fingerprints), pa.string())), (size, h, ids.take(own))):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), size, np.int32)), pa.array(np.full(len(hashes), kind > 0)), pa.array(hashes.view(np.int64)), names], names=["size", "whole", "h", "item"])
+
+    bench = materialize(benchmark.mapInArrow(items, "size int, whole boolean, h long, item string").distinct(), "benchmark")
+    forms = shapes((r[0] for r in bench.select("size").distinct().collect()), window, gram)  # window at most
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if arrow is None:
-                arrow = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.list_(pa.int64())))])
             for rows, data, offsets in K.slices(batch, text):
-                held.append((rows, Words(data, offsets)))
-                bytes_held += len(data)
-                if len(blocks) == 1 or bytes_held >= GROUP_BYTES:
-                    yield from flush()
-                    held.clear()
-                    bytes_held = 0
-        if held:
-            yield from flush()
-
-    return docs.select(*kept).mapInArrow(run, schema)
+                words, row = Words(data, offsets), rows.column(rows.schema.get_field_index(ROW))
+                for size, k, w in forms:
+                    at, h = words.fingerprints(k, w)
+                    own = np.searchsorted(words.first, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([row.take(pa.array(own)), pa.array(np.full(len(at), size, np.int32)), pa.array(at - words.first[own]), pa.array(h.view(np.int64))], names=[ROW, "size", "place", "h"])
+
+    keys = bench.where("not whole").select("size", "h")
+    places = numbered.select(ROW, text).mapInArrow(prints, f"{ROW} long, size int, place long, h long").join(keys, ["size", "h"], "left_semi")
+    places = places.groupBy(ROW).agg(F.collect_set(F.struct("size", "place")).alias("places"))  # a text's own
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in K.slices(batch, text):
+                words, row = Words(data, offsets), rows.column(rows.schema.get_field_index(ROW))
+                joined: dict[int, list[int]] = {}
+                for i, found in enumerate(rows.column(rows.schema.get_field_index("places")).to_pylist()):
+                    for x in found:
+                        joined.setdefault(x["size"], []).append(int(words.first[i]) + x["place"])
+                for size, k, w in forms:
+                    starts = words.joined(np.array(joined.get(size, []), np.int64), k, w)
+                    own = np.searchsorted(words.first, starts, "right") - 1
+                    yield pa.RecordBatch.from_arrays([row.take(pa.array(own)), pa.array(np.full(len(starts), size, np.int32)), pa.array(starts - words.first[own]), pa.array(words.grams(size)[starts].view(np.int64))], names=[ROW, "size", "start", "h"])
+
+    near = numbered.select(ROW, text).join(places, ROW).mapInArrow(windows, f"{ROW} long, size int, start long, h long")
+    hits = near.join(bench.where("whole").select("size", "h", "item"), ["size", "h"])
+    hits = hits.groupBy(ROW).agg(F.collect_set(F.array("start", F.col("start") + F.col("size"))).alias("__spans"), F.collect_set("item").alias("__items"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in K.slices(batch, text):
+                spans, names = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("__spans", "__items"))
+                cols = [rows.column(rows.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*cols, *_result(Words(data, offsets), [(x or [], set(y or [])) for x, y in zip(spans, names)])], names=[*kept, *RESULT.names])
+
+    return numbered.join(hits, ROW, "left").drop(ROW).mapInArrow(finish, T.StructType([*docs.schema.fields, *RESULT.fields]))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
