@@ -4,14 +4,16 @@
    texts, keeps one entry per distinct hash (the others repeat it within the group and are known to be removed),
    and cuts the sorted entries by hash range. A cut is one compressed row: hash deltas, word places and the texts'
    row numbers. So the shuffle carries some 8 bytes a window, and a window that millions of texts share sends one
-   entry per group, not one per text.
-2. Each hash range counts: a hash of two entries or more is repeated, and its places go back, packed by blocks of rows.
+   entry per group, not one per text. The number of ranges follows the bytes of text, so that one fits in a task.
+2. Each hash range counts: a hash of two entries or more is repeated, and its places go back, packed by blocks of
+   rows. A block has the more rows the shorter the texts are, and is put together from a sorted stream.
 3. Each text merges the windows that start at its places into maximal intervals and drops the words in them.
 
 Row numbers are those of the scan, so the input has to be a table (files); pass ``stable=False`` for anything
 else and it is written to the shared folder first.
 
-Defined cases: a null or empty text has no words and keeps none; a text shorter than the window loses nothing;
+Defined cases: an empty table gives no rows; a null or empty text has no words and keeps none; a text shorter than
+the window loses nothing; texts may be as long as a batch can hold; of equal windows all are removed, first ones too;
 repeated rows (copies) repeat each other's windows, so both lose them; words are compared as 64-bit hashes of
 35 words; extra columns pass through, those with the names of the results are replaced.
 """
@@ -33,8 +35,12 @@ from .storage import materialize, parts
 
 WINDOW = 35
 GROUP_BYTES = 24 << 20
-#: Rows whose repeated places travel together: 2**BLOCK_BITS consecutive ones of a partition.
+#: Text whose windows meet in one range: some 16 MB of entries.
+RANGE_BYTES = 16 << 20
+#: Rows whose repeated places travel together: 2**BLOCK_BITS consecutive ones of a partition at most, and fewer where
+#: that many of the mean length are above BLOCK_BYTES.
 BLOCK_BITS = 10
+BLOCK_BYTES = 4 << 20
 ROW = "__row"
 
 
@@ -58,30 +64,44 @@ def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def _by_block(rows: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _by_block(bits: int, rows: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Sorted word places of a group, one packed value (rows in the block, places each, positions) for each block of rows."""
     text = np.searchsorted(first, places, "right") - 1
     cut = np.flatnonzero(np.diff(text, prepend=-1))
     position = (places - first[text]).astype(np.uint32)
     counts, own = np.diff(np.append(cut, len(places))).astype(np.uint32), rows[text[cut]]
-    block = own >> BLOCK_BITS
+    block = own >> bits
     edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
     ends = np.append(cut, len(places)).tolist()
-    return block[edges[:-1]].tolist(), [_pack((own[a:b] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16), counts[a:b], position[ends[a] : ends[b]]) for a, b in zip(edges, edges[1:])]
+    return block[edges[:-1]].tolist(), [_pack((own[a:b] & ((1 << bits) - 1)).astype(np.uint16), counts[a:b], position[ends[a] : ends[b]]) for a, b in zip(edges, edges[1:])]
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, packed values) to one row of word places (uint32) for each text that has some."""
-    for batch in batches:
-        for block, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parts_ = [_unpack(x, [np.uint16, np.uint32, np.uint32]) for x in blobs]
-            row = np.concatenate([np.repeat(r, c) for r, c, _ in parts_])
-            place = np.concatenate([p for _, _, p in parts_])
-            order = np.argsort(row, kind="stable")
-            row, place = row[order], place[order]
-            cut = np.flatnonzero(np.diff(row.astype(np.int64), prepend=-1))
-            ends = np.append(cut, len(row)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array((block << BLOCK_BITS) + row[cut].astype(np.int64)), pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=[ROW, "places"])
+def _split(bits: int):
+    """(block, packed values) in order of blocks to one row of word places (uint32) for each text that has some."""
+
+    def rows_of(block: int, blobs: list[bytes]) -> pa.RecordBatch:
+        parts_ = [_unpack(x, [np.uint16, np.uint32, np.uint32]) for x in blobs]
+        row = np.concatenate([np.repeat(r, c) for r, c, _ in parts_])
+        place = np.concatenate([p for _, _, p in parts_])
+        order = np.argsort(row, kind="stable")
+        row, place = row[order], place[order]
+        cut = np.flatnonzero(np.diff(row.astype(np.int64), prepend=-1))
+        ends = np.append(cut, len(row)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array((block << bits) + row[cut].astype(np.int64)), pa.array([place[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=[ROW, "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            for now, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and now != block:
+                    yield rows_of(block, held)
+                    held = []
+                block = now
+                held.append(blob)
+        if held:
+            yield rows_of(block, held)
+
+    return run
 
 
 def _windows(window: int, n_parts: int, text: str):
@@ -150,12 +170,12 @@ def _windows(window: int, n_parts: int, text: str):
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _count(table: pa.Table, bits: int) -> pa.Table:
     """The places of repeated windows of one hash range, by block of rows."""
     blocks, blobs = [], []
 
     def emit(*places_of: np.ndarray) -> None:
-        at_blocks, packed = _by_block(*places_of)
+        at_blocks, packed = _by_block(bits, *places_of)
         blocks.extend(at_blocks)
         blobs.extend(packed)
 
@@ -197,10 +217,12 @@ def annotate(docs: DataFrame, window: int = WINDOW, text: str = "text", stable:
     if not stable:
         source = materialize(source, "substring-dedup")
     source = source.withColumn(ROW, F.monotonically_increasing_id())
-    n_parts = 2 * parts(docs.sparkSession)
+    size, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)), F.count("*")).first()
+    n_parts = max(8 * parts(docs.sparkSession), size // RANGE_BYTES + 1)
+    bits = min(BLOCK_BITS, max(0, int(BLOCK_BYTES * n_rows // (size + 1)).bit_length() - 1))
     entries = source.select(ROW, text).mapInArrow(_windows(window, n_parts, text), "part int, known boolean, blob binary")
-    places = entries.groupBy("part").applyInArrow(_count, "block long, blob binary")
-    found = places.groupBy("block").agg(F.collect_list("blob").alias("blobs")).mapInArrow(_split, f"{ROW} long, places binary")
+    places = entries.groupBy("part").applyInArrow(lambda table: _count(table, bits), "block long, blob binary")
+    found = places.repartition("block").sortWithinPartitions("block").mapInArrow(_split(bits), f"{ROW} long, places binary")
     joined = source.join(found, ROW, "left").drop(ROW)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept_text", T.StringType())] * kept_text
