@@ -1,18 +1,21 @@
 """Token-id files: each document's ids compressed on their own with one shared zstandard dictionary.
 
 A store is a folder in the shared file system with ``dictionary`` (trained on the serialized ids of a bounded
-sample: at most SAMPLE_DOCS documents by least hash of their row, SAMPLE_CHARS characters of each) and shards in
-ascending order of doc_id. A shard is::
+sample: at most SAMPLE_DOCS documents by least hash of their row; a text above SAMPLE_CHARS characters gives windows
+of as many in all, spread over it) and shards in ascending order of doc_id, of some SHARD_BYTES each. A shard is::
 
     magic, SHA-256 of the dictionary, bytes per id | compressed documents | index | footer
 
 The index has, for each document, doc_id, whether it is null, the token and the byte at which it starts in the
-shard, its checksum; the footer the index's place, the number of documents and of tokens. One document is read
-by a search in the index and one short read. Shards are written under a name of the attempt and renamed, so that
-a task that is run again leaves one whole file.
-
-Defined cases: a null or empty text is the end id alone; a null doc_id sorts first; repeated rows are stored
-each; an empty table gives a store without shards; columns beside doc_id and text are not stored.
+shard and its number of tokens; the footer the index's place, the number of documents and of tokens. ``shards.json``
+has the least and greatest doc_id of each shard, so that one document is read by the index of its shard and one short
+read. Shards are written under a name of the attempt and renamed, so that a task that is run again leaves one whole
+file. The ids of a text are those of its pieces (words and runs of other signs, as the vocabulary file declares), each
+distinct piece being encoded by the library once.
+
+Defined cases: a null or empty text is the end id alone; texts may be as long as a batch can hold; a null doc_id
+sorts first; rows of one doc_id, nulls too, stand in order of a hash of their bytes and may fill several shards;
+repeated rows are stored each; an empty table gives a store without shards; columns beside doc_id and text are not stored.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .pieces import Vocabulary, default_vocabulary, pieces_of, split_text, vocabulary
-from .storage import least_hashes, materialize, parts, shared_dir
+from .storage import discard, least_hashes, materialize, parts, shared_dir
 
 END_ID = 1
 MAGIC = b"QMTOKEN1"
 SAMPLE_DOCS = 512
 SAMPLE_CHARS = 8192
+SAMPLE_WINDOWS = 4
+SHARD_BYTES = 128 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 READ_BYTES = 8 << 20
@@ -87,7 +92,10 @@ class _Flat:
 def train_dictionary(docs: DataFrame, path: str, dtype: str) -> bytes:
     """From the stated sample; empty where it is too small to train on."""
     make = _maker_for(path)(vocabulary(path))
-    rows = least_hashes(docs, ["doc_id", "text"], SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).collect()
+    few = least_hashes(docs, ["doc_id", "text"], SAMPLE_DOCS).select(F.coalesce("text", F.lit("")).alias("text"))
+    each, size = SAMPLE_CHARS // SAMPLE_WINDOWS, F.length("text")
+    windows = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text"), ((size - each) * i / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(each)))
+    rows = few.select(F.explode(F.when(size > SAMPLE_CHARS, windows).otherwise(F.array("text"))).alias("text")).collect()
     vocab = vocabulary(path)
     samples = []
     for row in rows:
@@ -157,12 +165,17 @@ def write_store(docs: DataFrame, uri: str, path: str | None = None, shards: int
         out.write(rows.tobytes() + np.array([(at, len(rows), token)], FOOTER).tobytes())
         out.close()
         store.move(draft, name)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([token], pa.int64())], names=["shard", "docs", "tokens"])
+        named = rows["doc_id"][rows["null"] == 0]
+        ends = [named.min(), named.max()] if len(named) else [None, None]
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([token], pa.int64()), *(pa.array([x], pa.int64()) for x in ends)], names=["shard", "docs", "tokens", "least", "most"])
 
     encoded = materialize(docs.mapInArrow(encode, "doc_id long, n long, payload binary"), "token-rows")
-    ordered = encoded.repartitionByRange(shards or parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    made = sorted(ordered.mapInArrow(write, "shard int, docs long, tokens long").collect())  # one row a shard
-    listed = [{"path": f"shard-{r.shard:06d}", "docs": r.docs, "tokens": r.tokens} for r in made]
+    size = encoded.agg(F.coalesce(F.sum(F.length("payload").cast("long") + INDEX.itemsize), F.lit(0))).first()[0]
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("payload").asc()]  # rows of one id can be dealt to several shards
+    ordered = encoded.repartitionByRange(shards or max(parts(spark), size // SHARD_BYTES + 1), *order).sortWithinPartitions(*order)
+    made = sorted(ordered.mapInArrow(write, "shard int, docs long, tokens long, least long, most long").collect(), key=lambda r: r.shard)  # one row a shard
+    listed = [{"path": f"shard-{r.shard:06d}", "docs": r.docs, "tokens": r.tokens, "least": r.least, "most": r.most} for r in made]
+    discard(encoded)
     with fs.open_output_stream(f"{base}/shards.json") as f:
         f.write(json.dumps({"dictionary_sha256": mark.hex(), "vocabulary": os.path.basename(path), "shards": listed}).encode())
     return listed
@@ -224,7 +237,7 @@ def read_store(spark: SparkSession, uri: str, ids: bool = True) -> DataFrame:
 
 
 def fetch(uri: str, doc_id: int) -> np.ndarray | None:
-    """The ids of one document, reading its shard's index and its own bytes only."""
+    """The ids of one document (of the first, where several have its id), reading its shard's index and its own bytes only."""
     fs, base = _open(uri)
     with fs.open_input_stream(f"{base}/dictionary") as f:
         raw = f.read()
@@ -232,6 +245,8 @@ def fetch(uri: str, doc_id: int) -> np.ndarray | None:
         listed = json.loads(f.read())["shards"]
     unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(raw)) if raw else zstandard.ZstdDecompressor()
     for s in listed:
+        if s["least"] is None or not s["least"] <= doc_id <= s["most"]:
+            continue
         with fs.open_input_file(f"{base}/{s['path']}") as f:
             dtype = _head(f, raw, s["path"])
             index, end = _index(f, s["path"])
