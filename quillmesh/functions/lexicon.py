@@ -68,3 +68,24 @@ def latin_pairs() -> tuple[str, str]:
         if base.isascii() and base.isalpha():
             out[chr(code)] = base
     return "".join(out), "".join(out.values())
+
+
+#: The Brahmic blocks from U+0900 on share one layout: consonants, vowels, vowel signs and digits by their place in it.
+BRAHMIC = [0x900 + 0x80 * i for i in range(9)]
+CONSONANTS = dict(enumerate("k kh g gh n c ch j jh n t th d dh n t th d dh n n p ph b bh m y r r l l l v s s s h".split(), 0x15))
+VOWELS = dict(enumerate("a a i i u u r l e e e ai o o o au".split(), 0x05))
+VOWEL_SIGNS = dict(enumerate("a i i u u r r e e e ai o o o au".split(), 0x3E))
+NASALS = {0x01: "n", 0x02: "n", 0x03: "h"}
+BRAHMIC_DIGITS = {0x66 + i: str(i) for i in range(10)}
+
+
+def first_block() -> tuple[str, str]:
+    """The characters of all later blocks and those of the first block in their places, in two equal strings."""
+    pairs = [(chr(block + i), chr(BRAHMIC[0] + i)) for block in BRAHMIC[1:] for i in range(0x80)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def brahmic_letters() -> dict[str, str]:
+    """What each character of the first block is spelt as; most marks are dropped."""
+    spelt = {**CONSONANTS, **VOWELS, **VOWEL_SIGNS, **NASALS, **BRAHMIC_DIGITS}
+    return {chr(BRAHMIC[0] + i): spelt.get(i, "") for i in range(0x80)}

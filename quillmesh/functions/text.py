@@ -1,4 +1,4 @@
-"""Text normalisation as column expressions; all of it stays in the JVM but for ``fold_scripts``.
+"""Text normalisation as column expressions; all of it stays in the JVM.
 
 Nulls count as empty strings. Runs of a repeated character collapse before any lookup, so that keys with a doubled
 letter never match; that is kept as it is.
@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import lexicon as L
 
@@ -32,59 +30,35 @@ def fold(c: Column | str) -> Column:
     return c
 
 
-_CONSONANTS = "k kh g gh n c ch j jh n t th d dh n t th d dh n n p ph b bh m y r r l l l v s s s h".split()
-_VOWELS = "a a i i u u r l e e e ai o o o au".split()
-_SIGNS = "a i i u u r r e e e ai o o o au".split()
-
-
-def _brahmic(text: str) -> str:
-    """Romanises the Brahmic blocks U+0900-U+0D7F, which share one layout in steps of 0x80."""
-    out: list[str] = []
-    inherent = False
-    for ch in text:
-        at = (ord(ch) - 0x900) % 0x80 if 0x900 <= ord(ch) < 0xD80 else -1
-        if 0x15 <= at <= 0x39:
-            out.append(("a" if inherent else "") + _CONSONANTS[at - 0x15])
-            inherent = True
-            continue
-        if 0x3E <= at <= 0x4C:
-            out.append(_SIGNS[at - 0x3E])
-        elif at == 0x4D:
-            pass
-        else:
-            out.append("a" if inherent and 0x05 <= at <= 0x14 else "")
-            if 0x05 <= at <= 0x14:
-                out.append(_VOWELS[at - 0x05])
-            elif at in (0x01, 0x02):
-                out.append("an" if inherent else "n")
-            elif at == 0x03:
-                out.append("ah" if inherent else "h")
-            elif 0x66 <= at <= 0x6F:
-                out.append(str(at - 0x66))
-            elif at < 0:
-                out.append(ch)
-        inherent = False
-    return "".join(out)
-
-
-@F.pandas_udf(StringType())
-def _fold_scripts(s: pd.Series) -> pd.Series:
-    return s.map(_brahmic)
+def romanize(c: Column) -> Column:
+    """Romanises the Brahmic blocks: a consonant before another, a vowel or a nasal has its inherent a; the last of a
+    word has none."""
+    c = F.translate(c, *L.first_block())
+    at = lambda places: "[" + "".join(chr(L.BRAHMIC[0] + i) for i in places) + "]"
+    consonant, after = at(L.CONSONANTS), at([*L.NASALS, *L.VOWELS, *L.CONSONANTS])
+    c = F.regexp_replace(c, f"({consonant})(?={after})", "$1a")
+    spelt = L.brahmic_letters()
+    for second in sorted({x[1] for x in spelt.values() if len(x) > 1}):  # kh, ai, au and the like
+        longer = "".join(k for k, x in spelt.items() if x[1:] == second)
+        c = F.regexp_replace(c, f"([{longer}])", f"$1{second}")
+    kept = {k: x[0] for k, x in spelt.items() if x}
+    dropped = "".join(k for k, x in spelt.items() if not x)
+    return F.translate(c, "".join(kept) + dropped, "".join(kept.values()))
 
 
 def fold_scripts(c: Column | str) -> Column:
-    """``fold`` and a romanisation of Indic scripts; only texts that hold such letters go through Python."""
+    """``fold`` and a romanisation of Indic scripts."""
     c = _text(c)
-    return fold(F.when(has_indic(c), _fold_scripts(c)).otherwise(c))
+    return fold(F.when(has_indic(c), romanize(c)).otherwise(c))
 
 
 def has_indic(c: Column | str) -> Column:
     return _text(c).rlike("[" + "".join(f"\\p{{Is{x}}}" for x in L.INDIC_SCRIPTS) + "]")
 
 
-def norm_text(c: Column | str, scripts: bool = False) -> Column:
-    """Lower-case ASCII words with single spaces, runs of one character as one."""
-    c = F.lower(fold_scripts(c) if scripts else fold(c))
+def norm_text(c: Column | str) -> Column:
+    """Lower-case ASCII words with single spaces, runs of one character as one; Indic scripts are romanised."""
+    c = F.lower(fold_scripts(c))
     c = F.regexp_replace(c, "[^a-z0-9]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(.)\1+", "$1"), r"\s+", " "))
 

@@ -17,16 +17,6 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _norm(c: str) -> str:
-    a, b = L.latin_pairs()
-    c = f"translate(coalesce({c}, ''), '{a}', '{b}')"
-    for letter, spelt in L.EXPANSIONS.items():
-        c = f"replace({c}, '{letter}', '{spelt}')"
-    c = f"regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')"
-    c = f"array_to_string(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN i = 1 OR ({c})[i] <> ({c})[i - 1] THEN ({c})[i] ELSE '' END), '')"
-    return f"trim({c})"
-
-
 def define(name: str, text: str) -> None:
     _DEFS[name] = text.strip()
 
@@ -50,7 +40,7 @@ SELECT doc_id AS d, CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' ELSE '
 FROM (SELECT doc_id, lang, regexp_split_to_array(trim(substr(text, 1, 300)), '\s+') AS w FROM documents) WHERE len(w) >= 6""")
 define("t_rec", """
 SELECT 'S1-' || d AS entity_id, 1 AS src, country, w[1] || ' ' || w[2] || ' ' || w[3] AS business_name, num || ' ' || w[4] || ' ' || w[5] || ' road ' || w[6] AS business_address FROM t_base WHERE d % 4 <> 3
-UNION ALL SELECT 'S2-' || d, 2, country, w[1] || ' ' || w[3] || ' ' || w[2] || ' ltd', CASE WHEN d % 7 = 0 THEN '' ELSE num || ' ' || w[5] || ' ' || w[4] || ' rd ' || w[6] END FROM t_base WHERE d % 5 <> 0
+UNION ALL SELECT 'S2-' || d, 2, country, CASE WHEN d % 13 = 5 THEN translate(lower(w[1] || ' ' || w[3] || ' ' || w[2]), 'abcdefghijklmnopqrstuvwxyz', 'अबचदएफगहइजकलमनओपकरसतउववकयज') ELSE w[1] || ' ' || w[3] || ' ' || w[2] END || ' ltd', CASE WHEN d % 7 = 0 THEN '' ELSE num || ' ' || w[5] || ' ' || w[4] || ' rd ' || w[6] END FROM t_base WHERE d % 5 <> 0
 UNION ALL SELECT 'S3-' || d, 3, country, 'the ' || w[1] || ' ' || w[2] || right(w[2], 1) || ' ' || w[3], '0' || (num + CASE WHEN d % 11 = 0 THEN 10 ELSE 0 END) || ' ' || w[4] || ' ' || w[5] || ' road' FROM t_base WHERE d % 3 <> 0""")
 define("t_truth", "SELECT a.entity_id AS q_id, b.entity_id AS rec_id FROM t_rec a JOIN t_rec b ON substr(a.entity_id, 4) = substr(b.entity_id, 4) WHERE a.src = 1 AND b.src > 1")
 # collapse in steps, so that no expression is repeated within itself
@@ -68,7 +58,18 @@ def _collapse(c: str) -> str:
     return f"trim(array_to_string(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN i = 1 OR {c}[i] <> {c}[i - 1] THEN {c}[i] ELSE '' END), ''))"
 
 
-define("t_clean", f"SELECT *, {_clean('business_name')} AS cn, {_clean('business_address')} AS ca FROM t_rec")
+def _romanized(c: str) -> str:
+    """The inherent vowel by two passes (matches of one do not overlap), then letter by letter."""
+    c = f"translate(coalesce({c}, ''), '{_FIRST[0]}', '{_FIRST[1]}')"
+    for _ in range(2):
+        c = f"regexp_replace({c}, '([क-ह])([ँ-ःअ-औक-ह])', '\\1a\\2', 'g')"
+    return f"array_to_string(list_transform(string_split({c}, ''), lambda ch: coalesce(({_map(L.brahmic_letters())})[ch], ch)), '')"
+
+
+_FIRST = L.first_block()
+_INDIC = "[" + "".join(f"\\p{{{x}}}" for x in L.INDIC_SCRIPTS) + "]"
+define("t_latin", "SELECT * REPLACE (" + ", ".join(f"CASE WHEN regexp_matches({c}, '{_INDIC}') THEN {_romanized(c)} ELSE {c} END AS {c}" for c in ("business_name", "business_address")) + ") FROM t_rec")
+define("t_clean", f"SELECT t_rec.*, {_clean('l.business_name')} AS cn, {_clean('l.business_address')} AS ca FROM t_rec JOIN t_latin l USING (entity_id)")
 define("t_flat", f"SELECT * EXCLUDE (cn, ca), {_collapse('cn')} AS name, {_collapse('ca')} AS na FROM t_clean")
 define("t_toks", f"SELECT *, list_filter(string_split(name, ' '), lambda x: x <> '') AS toks, list_transform(list_filter(string_split(na, ' '), lambda x: x <> ''), lambda x: coalesce(({_map(L.ADDRESS)})[x], x)) AS atoks FROM t_flat")
 define("t_core", f"""

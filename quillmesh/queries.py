@@ -7,6 +7,7 @@ vec_id % 3 as the source and label in the role of the country. Budgets are small
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from .operators import sampling as P
 from .operators import validate as V
 from .plans import fixture
 from .plans.oracle import F_HALF, sql
+from .sources.scratch import materialize
 
 BUDGET, K = 60, 10
 RULE = D.Rule(0.5, 0.12, 0.0, 0.0, 12)
@@ -42,17 +44,38 @@ def query(oracle: str | None = None):
 
 
 class Plan:
-    """The linkage chain over one data set, each step a lazy DataFrame."""
+    """The linkage chain over one data set. What several steps read is written once to the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.raw = fixture.records(spark, sf_dir)
-        self.truth = fixture.truth(self.raw)
-        self.records = N.normalize(self.raw)
-        self.toks = R.tokens(self.records)
-        self.pool = self.records.where("src > 1")
-        self.vocab = R.vocabulary(self.toks.where("src > 1"), self.pool)
-        self.norms = R.norms(self.toks.where("src > 1"), self.vocab, self.pool)
-        self.queries = self.records.where("src = 1")
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        return fixture.truth(self.raw)
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return materialize(N.normalize(self.raw), "records")
+
+    @cached_property
+    def toks(self) -> DataFrame:
+        return materialize(R.tokens(self.records), "tokens")
+
+    @property
+    def pool(self) -> DataFrame:
+        return self.records.where("src > 1")
+
+    @property
+    def queries(self) -> DataFrame:
+        return self.records.where("src = 1")
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return materialize(R.vocabulary(self.toks.where("src > 1"), self.pool), "vocabulary")
+
+    @property
+    def norms(self) -> DataFrame:
+        return R.norms(self.toks.where("src > 1"), self.vocab, self.pool)
 
     def selected(self) -> DataFrame:
         return R.select_tokens(self.toks.where("src = 1").drop("src"), self.vocab, BUDGET)
@@ -60,14 +83,22 @@ class Plan:
     def found(self) -> DataFrame:
         return R.retrieve(self.selected(), self.toks.where("src > 1"), self.norms, K)
 
+    @cached_property
+    def _union(self) -> DataFrame:
+        return materialize(R.sparse_union(self.found()), "candidates")
+
     def union(self) -> DataFrame:
-        return R.sparse_union(self.found())
+        return self._union
 
     def features(self) -> DataFrame:
         return X.set_features(C.attributed(self.union(), self.records))
 
+    @cached_property
+    def _scored(self) -> DataFrame:
+        return materialize(C.label(self.features().withColumn("score", X.set_score()), self.truth), "scored")
+
     def scored(self) -> DataFrame:
-        return C.label(self.features().withColumn("score", X.set_score()), self.truth)
+        return self._scored
 
     def accepted(self) -> DataFrame:
         return D.accept(self.scored(), RULE)
@@ -364,8 +395,8 @@ def shared_token_histogram(spark, sf_dir):
 
 
 @query("""SELECT category, empty_addr, coalesce(n, 0) AS n FROM (SELECT unnest(['cross_script', 'partial', 'alias']) AS category) CROSS JOIN (SELECT unnest([0, 1]) AS empty_addr) LEFT JOIN (
-  SELECT CASE WHEN len(list_intersect(qt, pt)) > 0 OR round(CASE WHEN len(qg) > 0 AND len(pg) > 0 THEN len(list_intersect(qg, pg)) / len(list_distinct(list_concat(qg, pg))) ELSE 0 END, 6) >= 0.25 THEN 'partial' ELSE 'alias' END AS category, e AS empty_addr, count(*) AS n FROM (
-    SELECT list_filter(string_split(q.core, ' '), lambda x: x <> '') AS qt, list_filter(string_split(p.core, ' '), lambda x: x <> '') AS pt, CASE WHEN p.addr = '' THEN 1 ELSE 0 END AS e,
+  SELECT CASE WHEN regexp_matches(p_raw, '\\p{Devanagari}') AND NOT regexp_matches(q_raw, '\\p{Devanagari}') THEN 'cross_script' WHEN len(list_intersect(qt, pt)) > 0 OR round(CASE WHEN len(qg) > 0 AND len(pg) > 0 THEN len(list_intersect(qg, pg)) / len(list_distinct(list_concat(qg, pg))) ELSE 0 END, 6) >= 0.25 THEN 'partial' ELSE 'alias' END AS category, e AS empty_addr, count(*) AS n FROM (
+    SELECT list_filter(string_split(q.core, ' '), lambda x: x <> '') AS qt, list_filter(string_split(p.core, ' '), lambda x: x <> '') AS pt, CASE WHEN p.addr = '' THEN 1 ELSE 0 END AS e, q.business_name AS q_raw, p.business_name AS p_raw,
       list_distinct(list_transform(range(1, length(replace(q.core, ' ', '')) - 1), lambda i: substr(replace(q.core, ' ', ''), i, 3))) AS qg, list_distinct(list_transform(range(1, length(replace(p.core, ' ', '')) - 1), lambda i: substr(replace(p.core, ' ', ''), i, 3))) AS pg
     FROM t_truth t JOIN t_norm q ON q.entity_id = t.q_id JOIN t_norm p ON p.entity_id = t.rec_id WHERE NOT EXISTS (SELECT 1 FROM t_found f WHERE f.q_id = t.q_id AND f.rec_id = t.rec_id AND f.rank < 2)) GROUP BY ALL) USING (category, empty_addr)""")
 def miss_profile(spark, sf_dir):
@@ -430,14 +461,14 @@ _MODEL = ["blk_name", "blk_addr", *X.SET_FEATURES]
 def train_gbt(spark, sf_dir):
     """Out-of-fold scores of the labelled pairs, two folds."""
     p = Plan(spark, sf_dir)
-    pairs = P.folds(C.label(p.features(), p.truth), 2).persist()
+    pairs = materialize(P.folds(C.label(p.features(), p.truth), 2), "pairs")
     return M.out_of_fold(pairs, _MODEL, 2, rounds=5).select(*_KEYS, "label", "fold", F.round("raw", 6).alias("raw"))
 
 
 @query()
 def calibrate(spark, sf_dir):
     p = Plan(spark, sf_dir)
-    scored = p.scored().select("label", F.col("score").alias("raw")).persist()
+    scored = p.scored().select("label", F.col("score").alias("raw"))
     return M.calibration_table(M.calibrated(M.calibrate(scored), scored))
 
 
@@ -455,7 +486,7 @@ def validate_submission(spark, sf_dir):
     """Result rows with faults put in by id: some rows left out, some with an id of no source."""
     p = Plan(spark, sf_dir)
     d = F.substring("q_id", 4, 30).cast("long") % 50
-    rows = D.submission(p.scored().select(*PAIR), p.accepted().select(*PAIR), p.queries).persist()  # read by every check
+    rows = materialize(D.submission(p.scored().select(*PAIR), p.accepted().select(*PAIR), p.queries), "rows")  # read by every check
     matching = rows.where(d != 0).select("q_id", F.when(d == 1, F.concat_ws(",", F.nullif("matched", F.lit("")), F.lit("X9"))).otherwise(F.col("matched")).alias("ids"))
     return V.validate(matching, rows.select("q_id", F.col("candidates").alias("ids")), rows.select("q_id"), p.pool.select(F.col("entity_id").alias("id")))
 

@@ -38,7 +38,11 @@ def test_addresses_and_states(spark):
 def test_scripts(spark):
     assert one(spark, N.has_indic("x"), "नमस्ते") is True
     assert one(spark, N.has_indic("x"), "plain é") is False
-    assert one(spark, N.norm_text("x", scripts=True), "लिमिटेड") == "limited"
+    spelt = {"लिमिटेड": "limited", "भारत उद्योग": "bharat udyog", "ಕರ್ನಾಟಕ": "karnatak", "தமிழ்": "tamil", "ऐश औरत १२३": "ais aurat 123", "संग दुःख": "sang duhkh", "Café ड": "cafe d"}
+    for text, expected in spelt.items():
+        assert one(spark, N.norm_text("x"), text) == expected
+    row = spark.createDataFrame([("भारत लिमिटेड", "१२ मेन रोड")], "business_name string, business_address string")
+    assert tuple(N.normalize(row).select("name", "core", "addr", "digits").first()) == ("bharat limited", "bharat", "12 men rod", "12")
 
 
 def test_small_functions(spark):
