@@ -1,25 +1,35 @@
-"""String similarity that sets cannot express, as Arrow kernels: longest common subsequences by bit-parallel integers."""
+"""String similarity that sets cannot express, as one Arrow kernel: longest common subsequences by bit-parallel integers."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
+
+def _rows(a: str) -> dict[str, int]:
+    """Bit sets of the places of each character."""
     rows: dict[str, int] = {}
     for i, ch in enumerate(a):
         rows[ch] = rows.get(ch, 0) | 1 << i
-    mask = (1 << len(a)) - 1
-    s = mask
+    return rows
+
+
+def _lcs(rows: dict[str, int], n: int, b: str) -> int:
+    mask = s = (1 << n) - 1
     for ch in b:
         u = s & rows.get(ch, 0)
         s = ((s + u) | (s - u)) & mask
-    return len(a) - s.bit_count()
+    return n - s.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _lcs(_rows(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -48,17 +58,39 @@ def token_set(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter string with any window of the longer one, shorter windows at its ends included."""
+    """The best ratio of the shorter string with any window of the longer one, shorter windows at its ends included.
+
+    A window has no longer a common subsequence than it has common characters; these are counted along, and only
+    windows whose bound is above the best ratio so far are aligned, those of the greatest bound first.
+    """
     if not a or not b:
         return 0.0
 
-    def one(short: str, long: str) -> float:
+    def one(short: str, long: str, best: float) -> float:
         n, m = len(short), len(long)
-        return max(ratio(short, long[max(0, i) : min(m, i + n)]) for i in range(1 - n, m))
+        need, common, bounds = Counter(short), 0, []
+        for i in range(1 - n, m):  # the window is long[max(0, i) : min(m, i + n)]
+            if i + n <= m:
+                enters = long[i + n - 1]
+                common += need[enters] > 0
+                need[enters] -= 1
+            if i > 0:
+                leaves = long[i - 1]
+                need[leaves] += 1
+                common -= need[leaves] > 0
+            bounds.append((2 * common / (n + min(m, i + n) - max(0, i)), i))
+        rows = _rows(short)
+        for bound, i in sorted(bounds, reverse=True):
+            if bound <= best:
+                break
+            window = long[max(0, i) : min(m, i + n)]
+            best = max(best, 2 * _lcs(rows, n, window) / (n + len(window)))
+        return best
 
-    if len(a) == len(b):
-        return max(one(a, b), one(b, a))
-    return one(a, b) if len(a) < len(b) else one(b, a)
+    if len(a) > len(b):
+        a, b = b, a
+    best = one(a, b, 0.0)
+    return one(b, a, best) if len(a) == len(b) else best
 
 
 def lcs_similarity(a: str, b: str) -> float:
@@ -93,16 +125,30 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-def _kernel(f):
-    @F.pandas_udf(DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(f(x, y), 6) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+NAME = {"n_jw": jaro_winkler, "n_lev": ratio, "n_tokset": token_set, "n_toksort": token_sort, "n_partial": partial, "n_lcs": lcs_similarity}
+ADDRESS = {"a_lev": ratio, "a_tokset": token_set, "a_toksort": token_sort}
+#: Pairs of strings whose measures a worker holds.
+HELD = 50_000
+
+
+@lru_cache(maxsize=HELD)
+def _measures(kind: str, a: str, b: str) -> tuple[float, ...]:
+    measures = (NAME if kind == "name" else ADDRESS).values()
+    return tuple(round(f(a, b), 6) for f in measures) if a and b else (0.0,) * len(measures)
+
 
-    return run
+def fuzzy_features(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (q_core, p_core, q_addr, p_addr) with the alignment features; 0 where either side is empty or null.
+    One pass of Arrow batches; strings that meet again in a worker are measured once."""
+    names = [*NAME, *ADDRESS]
+    kept = [c for c in pairs.columns if c not in names]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("q_core", "p_core", "q_addr", "p_addr")}
+            rows = [_measures("name", a or "", b or "") + _measures("addr", c or "", d or "") for a, b, c, d in zip(*text.values())]
+            made = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *names])
 
-def fuzzy_features(pairs):
-    """``pairs`` (q_core, p_core, q_addr, p_addr) with the alignment features; 0 where either side is empty."""
-    name = {"n_jw": jaro_winkler, "n_lev": ratio, "n_tokset": token_set, "n_toksort": token_sort, "n_partial": partial, "n_lcs": lcs_similarity}
-    addr = {"a_lev": ratio, "a_tokset": token_set, "a_toksort": token_sort}
-    return pairs.withColumns({**{k: _kernel(f)("q_core", "p_core") for k, f in name.items()}, **{k: _kernel(f)("q_addr", "p_addr") for k, f in addr.items()}})
+    schema = T.StructType([*pairs.select(*kept).schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return pairs.select(*kept).mapInArrow(run, schema)

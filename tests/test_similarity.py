@@ -37,3 +37,23 @@ def test_token_measures():
     assert S.token_sort("b a", "a b") == 1.0
     assert S.partial("abc", "xxabcxx") == 1.0
     assert S.ratio("ab", "cd") == 0.0
+
+
+def test_partial_against_every_window():
+    rng = random.Random(3)
+
+    def slow(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        ways = [(a, b), (b, a)] if len(a) == len(b) else [(a, b)]
+        return max(S.ratio(x, y[max(0, i) : i + len(x)]) for x, y in ways for i in range(1 - len(x), len(y)))
+
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 16))) for _ in range(2))
+        assert S.partial(a, b) == pytest.approx(slow(a, b))
+
+
+def test_fuzzy_features_of_nulls_and_clashes(spark):
+    rows = [("acme inc", "acme", None, "", 1.0), ("", None, "1 main st", "1 main rd", 2.0), ("a b", "b a", "x", "x", 3.0)]
+    got = S.fuzzy_features(spark.createDataFrame(rows, "q_core string, p_core string, q_addr string, p_addr string, n_lev double")).collect()
+    assert got[0].n_tokset == 1.0 and got[0].a_lev == 0.0 and got[1].n_lev == 0.0 and 0 < got[1].a_lev < 1 and got[2].n_toksort == 1.0
