@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .packing import pack, unpack
 from .storage import materialize, parts
 
 WINDOW = 35
@@ -44,26 +44,6 @@ BLOCK_BYTES = 4 << 20
 ROW = "__row"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob; the bytes of equal weight stand together."""
-    out = [np.array([len(arrays), *(v for a in arrays for v in (a.dtype.itemsize, len(a)))], np.int64).tobytes()]
-    for a in arrays:
-        out.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 1 + 2 * n)
-    at, out = 8 * (1 + 2 * n), []
-    for kind, width, size in zip(kinds, head[1::2].tolist(), head[2::2].tolist()):
-        flat = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
-        out.append(np.ascontiguousarray(flat.T).reshape(-1).view(kind) if size else np.zeros(0, kind))
-        at += width * size
-    return out
-
-
 def _by_block(bits: int, rows: np.ndarray, first: np.ndarray, places: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Sorted word places of a group, one packed value (rows in the block, places each, positions) for each block of rows."""
     text = np.searchsorted(first, places, "right") - 1
@@ -73,14 +53,14 @@ def _by_block(bits: int, rows: np.ndarray, first: np.ndarray, places: np.ndarray
     block = own >> bits
     edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).tolist()
     ends = np.append(cut, len(places)).tolist()
-    return block[edges[:-1]].tolist(), [_pack((own[a:b] & ((1 << bits) - 1)).astype(np.uint16), counts[a:b], position[ends[a] : ends[b]]) for a, b in zip(edges, edges[1:])]
+    return block[edges[:-1]].tolist(), [pack((own[a:b] & ((1 << bits) - 1)).astype(np.uint16), counts[a:b], position[ends[a] : ends[b]]) for a, b in zip(edges, edges[1:])]
 
 
 def _split(bits: int):
     """(block, packed values) in order of blocks to one row of word places (uint32) for each text that has some."""
 
     def rows_of(block: int, blobs: list[bytes]) -> pa.RecordBatch:
-        parts_ = [_unpack(x, [np.uint16, np.uint32, np.uint32]) for x in blobs]
+        parts_ = [unpack(x, [np.uint16, np.uint32, np.uint32]) for x in blobs]
         row = np.concatenate([np.repeat(r, c) for r, c, _ in parts_])
         place = np.concatenate([p for _, _, p in parts_])
         order = np.argsort(row, kind="stable")
@@ -136,7 +116,7 @@ def _windows(window: int, n_parts: int, text: str):
             places = np.sort(at[again])
             parts_.append(int(rows[0] % n_parts))
             known.append(True)
-            blobs.append(_pack(places, rows, first.astype(np.int64)))
+            blobs.append(pack(places, rows, first.astype(np.int64)))
         h, at, again = h[new], at[new], again[new]
         part = ((h >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
         cuts = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
@@ -147,7 +127,7 @@ def _windows(window: int, n_parts: int, text: str):
             t = np.unique(np.searchsorted(first, at[a:b], "right") - 1)  # only texts with a place in this range
             parts_.append(p)
             known.append(False)
-            blobs.append(_pack(np.diff(h[a:b], prepend=np.uint64(0)), at[a:b], again[a:b].view(np.uint8), np.diff(rows[t], prepend=0), np.diff(first[t], prepend=0)))
+            blobs.append(pack(np.diff(h[a:b], prepend=np.uint64(0)), at[a:b], again[a:b].view(np.uint8), np.diff(rows[t], prepend=0), np.diff(first[t], prepend=0)))
             if sum(map(len, blobs)) > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(parts_, pa.int32()), pa.array(known), pa.array(blobs, pa.binary())], schema=schema)
                 parts_, known, blobs = [], [], []
@@ -182,10 +162,10 @@ def _count(table: pa.Table, bits: int) -> pa.Table:
     hashes, owners, places, flags, texts = [], [], [], [], []
     for known, blob in zip(table["known"].to_pylist(), table["blob"]):
         if known:
-            at, rows, first = _unpack(blob.as_buffer(), [np.uint32, np.int64, np.int64])
+            at, rows, first = unpack(blob.as_buffer(), [np.uint32, np.int64, np.int64])
             emit(rows, first, at.astype(np.int64))
             continue
-        h, at, flag, rows, first = _unpack(blob.as_buffer(), [np.uint64, np.uint32, np.uint8, np.int64, np.int64])
+        h, at, flag, rows, first = unpack(blob.as_buffer(), [np.uint64, np.uint32, np.uint8, np.int64, np.int64])
         with np.errstate(over="ignore"):
             hashes.append(np.cumsum(h, dtype=np.uint64))
         owners.append(np.full(len(h), len(texts), np.int32))
