@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import cardinality_bucket
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -54,15 +56,17 @@ def universe(queries: DataFrame, truth: DataFrame) -> DataFrame:
     """(q_id, country, n_true, bucket) of all queries."""
     n = truth.groupBy("q_id").agg(F.count("*").alias("n_true"))
     df = queries.select(F.col("entity_id").alias("q_id"), "country").join(n, "q_id", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
-    return df.withColumn("bucket", F.when(F.col("n_true") >= 3, "3+").otherwise(F.col("n_true").cast("string")))
+    return df.withColumn("bucket", cardinality_bucket(F.col("n_true")))
 
 
 def report(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean F, tp, fp, fn, empty predictions and hit singletons, over all queries or by stratum."""
+    """Mean F, tp, fp, fn, empty predictions, hit singletons, micro precision and recall, over all queries or by stratum."""
     s = lambda c: F.sum(c.cast("long"))
+    share = lambda a, b: F.round(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), 6)
     tp, pred, true = F.col("tp"), F.col("npred"), F.col("n_true")
     return scores.groupBy(*(by or [])).agg(
-        F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("mean_f"), s(tp).alias("tp"), s(pred - tp).alias("fp"), s(true - tp).alias("fn"), s(pred == 0).alias("empty_predictions"), s((true == 0) & (pred == 0)).alias("singletons_hit")
+        F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("mean_f"), s(tp).alias("tp"), s(pred - tp).alias("fp"), s(true - tp).alias("fn"), s(pred == 0).alias("empty_predictions"), s((true == 0) & (pred == 0)).alias("singletons_hit"),
+        share(tp, pred).alias("precision"), share(tp, true).alias("recall"),
     )
 
 

@@ -12,6 +12,7 @@ from ..functions.features import jaccard
 from ..functions.text import has_indic, match_count, rank_bucket, words
 
 GENERIC_DF = 3000
+EXAMPLES = 3
 
 
 def profile(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -63,10 +64,13 @@ def rare_tokens(records: DataFrame, below: int = GENERIC_DF) -> DataFrame:
 
 
 def false_patterns(accepted: DataFrame, records: DataFrame, queries: DataFrame, name: str, address: str) -> DataFrame:
-    """(pattern, n, share) of accepted pairs that are not true."""
+    """(pattern, n, examples, share) of accepted pairs that are not true; the first EXAMPLES pairs by ids are named."""
     df = accepted.where("label = 0").join(rare_tokens(records), "q_id", "left").join(queries.select("q_id", "n_true"), "q_id")
     df = df.withColumn("pattern", error_pattern(name, address, F.coalesce("n_rare", F.lit(0)), F.col("n_true") > 0))
     counts = df.groupBy("pattern").agg(F.count("*").alias("n"))
+    first = df.withColumn("__r", F.row_number().over(W.partitionBy("pattern").orderBy("q_id", "rec_id"))).where(F.col("__r") <= EXAMPLES)
+    named = first.groupBy("pattern").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "q_id", "rec_id"))), ",").alias("examples"))
+    counts = counts.join(named, "pattern")
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6))  # a row per pattern
 
 
@@ -117,6 +121,34 @@ def claim_pairs(accepted: DataFrame, place: DataFrame) -> DataFrame:
     return both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def error_report(scored: DataFrame, accepted: DataFrame, records: DataFrame, top: int = 20) -> DataFrame:
+    """(kind, place, q_id, rec_id, score and both records' names and addresses): the ``top`` false merges of greatest
+    score, and as many true pairs among the candidates that were not accepted, the greatest score first."""
+    wrong = accepted.where("label = 0").select(F.lit("false_merge").alias("kind"), "q_id", "rec_id", "score")
+    missed = scored.where("label = 1").join(accepted.select("q_id", "rec_id"), ["q_id", "rec_id"], "left_anti").select(F.lit("missed").alias("kind"), "q_id", "rec_id", "score")
+    w = W.partitionBy("kind").orderBy(F.desc("score"), "q_id", "rec_id")
+    few = wrong.union(missed).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    side = lambda p, key: records.select(F.col("entity_id").alias(key), F.col("business_name").alias(f"{p}_name"), F.col("business_address").alias(f"{p}_address"))
+    few = F.broadcast(few)  # 2 * top rows
+    return side("p", "rec_id").join(side("q", "q_id").join(few, "q_id"), "rec_id")
+
+
+def truth_summary(counts: DataFrame) -> DataFrame:
+    """One row: entities, mean and greatest number of matches, share without any; ``counts``: q_id, n_true."""
+    n = F.col("n_true")
+    return counts.agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_matches"), F.max(n).alias("max_matches"), F.round(F.avg((n == 0).cast("double")), 6).alias("singleton_share"))
+
+
+def probe_summary(ranks: DataFrame, kind: Column, ks: list[int], base: float) -> DataFrame:
+    """(kind, k, n, recovered, recovery, projected): of missed pairs (est_rank, as ``distractor_rank`` gives it) those
+    that an encoder's list of length k would hold, by kind (script) and for all, and the recall that would then be
+    reached from ``base``."""
+    rows = ranks.withColumn("kind", F.explode(F.array(kind, F.lit("all")))).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    sums = rows.groupBy("kind", "k").agg(F.count("*").alias("n"), F.sum((F.col("est_rank") < F.col("k")).cast("long")).alias("recovered"))
+    recovery = F.col("recovered") / F.col("n")
+    return sums.withColumn("recovery", F.round(recovery, 6)).withColumn("projected", F.round(base + (1 - base) * recovery, 6))
+
+
 def distractor_rank(pairs: DataFrame, pool: DataFrame, scale: float = 1.0) -> DataFrame:
     """(q_id, rec_id, n_above, est_rank): pool vectors of the query's country that are nearer than the true one.
 

@@ -21,9 +21,13 @@ def assemble(pairs: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(pairs)
 
 
-def fit(pairs: DataFrame, columns: list[str], kind: str = "gbt", rounds: int = 20):
-    """A classifier on label and columns."""
-    return KINDS[kind](rounds).fit(assemble(pairs.withColumn("label", F.col("label").cast("double")), columns))
+def fit(pairs: DataFrame, columns: list[str], kind: str = "gbt", rounds: int = 20, holdout: str | None = None):
+    """A classifier on label and columns. With ``holdout`` (a boolean column, for boosted trees) no tree is added once
+    those rows' loss no longer falls."""
+    learner = KINDS[kind](rounds)
+    if holdout:
+        learner = learner.setValidationIndicatorCol(holdout).setParams(validationTol=0.001)
+    return learner.fit(assemble(pairs.withColumn("label", F.col("label").cast("double")), columns))
 
 
 def predict(model, pairs: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,11 +52,11 @@ def final_rounds(best: list[int]) -> int:
     return int(sum(best) / len(best) * (1 + 1 / len(best)))
 
 
-def out_of_fold(pairs: DataFrame, columns: list[str], k: int, kind: str = "gbt", rounds: int = 20) -> DataFrame:
+def out_of_fold(pairs: DataFrame, columns: list[str], k: int, kind: str = "gbt", rounds: int = 20, holdout: str | None = None) -> DataFrame:
     """``pairs`` (with fold) scored by models that have not seen their fold."""
     out = None
     for fold in range(k):
-        model = fit(pairs.where(F.col("fold") != fold), columns, kind, rounds)
+        model = fit(pairs.where(F.col("fold") != fold), columns, kind, rounds, holdout)
         part = predict(model, pairs.where(F.col("fold") == fold), columns)
         out = part if out is None else out.unionByName(part)
     return out
@@ -75,20 +79,24 @@ def blend(scored: DataFrame, columns: list[str], name: str = "score") -> DataFra
 
 
 def average_precision(scored: DataFrame, score: str = "score") -> DataFrame:
-    """(n, n_pos, ap): the step sum of precision over gains in recall, equal scores as one threshold.
+    """(n, n_pos, ap, roc_auc): the step sum of precision over gains in recall, and the chance that a positive stands
+    above a negative; equal scores are one threshold.
 
     Scores are first counted by value; running counts over values are taken within score ranges and joined to the
-    ranges' totals, so that no task orders all rows.
+    ranges' totals, so that no task orders all rows. The ranges are those of scores in [0, 1]; scores beyond fall into
+    the outer ones.
     """
     levels = scored.groupBy(F.round(score, 6).alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    levels = levels.withColumn("b", F.floor(F.col("s") * 256))
+    levels = levels.withColumn("b", F.floor(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)) * 256))
     blocks = levels.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
     before = W.partitionBy().orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)  # 257 rows for scores in [0, 1]
     blocks = blocks.select("b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("an"), F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("ap"))
     w = W.partitionBy("b").orderBy(F.desc("s"))
     rows = levels.join(F.broadcast(blocks), "b").select("n", "p", (F.col("an") + F.sum("n").over(w)).alias("cn"), (F.col("ap") + F.sum("p").over(w)).alias("cp"))
-    sums = rows.agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * F.col("cp") / F.col("cn")).alias("s"))
-    return sums.select("n", "n_pos", F.round(F.when(F.col("n_pos") > 0, F.col("s") / F.col("n_pos")).otherwise(0.0), 6).alias("ap"))
+    sums = rows.agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * F.col("cp") / F.col("cn")).alias("s"), F.sum(F.col("p") * (F.col("cn") - F.col("cp") - (F.col("n") - F.col("p")) / 2)).alias("above"))
+    both = F.col("n_pos") * (F.col("n") - F.col("n_pos"))
+    auc = F.round(F.when(both > 0, 1 - F.col("above") / both), 6)
+    return sums.select("n", "n_pos", F.round(F.when(F.col("n_pos") > 0, F.col("s") / F.col("n_pos")).otherwise(0.0), 6).alias("ap"), auc.alias("roc_auc"))
 
 
 def calibration_table(scored: DataFrame, score: str = "score", bins: int = 10) -> DataFrame:

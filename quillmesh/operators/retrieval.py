@@ -6,7 +6,7 @@ the document-frequency ceiling bounds what any token can bring. Ties go by the r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,6 +54,18 @@ def norms(toks: DataFrame, vocab: DataFrame, records: DataFrame) -> DataFrame:
     return every.join(sums, ["src", "entity_id", "field"], "left").select("src", "entity_id", "field", F.greatest(F.sqrt(F.coalesce("s", F.lit(0.0))), F.lit(NORM_FLOOR)).alias("norm"))
 
 
+def write_index(folder: str, vocab: DataFrame, postings: DataFrame, norm: DataFrame) -> None:
+    """Vocabulary and postings (src, token, entity_id, field) in order of tokens, norms in order of records: a scan for
+    some of them skips row groups."""
+    for name, table, order in (("vocabulary", vocab, ["src", "token"]), ("postings", postings, ["src", "token"]), ("norms", norm, ["src", "entity_id"])):
+        table.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``write_index`` wrote: vocabulary, postings, norms."""
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("vocabulary", "postings", "norms"))
+
+
 def select_tokens(query: DataFrame, vocab: DataFrame, budget: int, query_df: int = QUERY_DF) -> DataFrame:
     """Each query's rarest known tokens by source and field while the running df is within the budget, the first always."""
     known = query.select(F.col("entity_id").alias("q_id"), "field", "token", "pos").join(vocab.where(F.col("df") <= query_df), "token")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCALE = 1_000_000
+BLOCKS = 4096
 
 
 def hash_share(*keys: str, seed: int = 0) -> Column:
@@ -38,6 +39,25 @@ def folds(universe: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     return universe.withColumn("fold", F.pmod(F.xxhash64("q_id", F.lit(seed)), F.lit(k)).cast("int"))
 
 
+def equal_folds(universe: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """``universe`` with folds of equal size (one row more at most): places in the order of hashes, dealt in turn.
+
+    The order is taken within BLOCKS ranges of the hash, and the ranges' sizes are added up, so that no task orders all.
+    """
+    h = F.xxhash64("q_id", F.lit(seed))
+    df = universe.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(BLOCKS)))
+    sizes = df.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy().orderBy("__b").rowsBetween(W.unboundedPreceding, -1))  # BLOCKS rows
+    sizes = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("__a"))
+    place = F.col("__a") + F.row_number().over(W.partitionBy("__b").orderBy("__h", "q_id")) - 1
+    return df.join(F.broadcast(sizes), "__b").withColumn("fold", F.pmod(place, F.lit(k)).cast("int")).drop("__h", "__b", "__a")
+
+
+def first_entities(entities: DataFrame, n: int, order: str = "entity_id") -> DataFrame:
+    """The first n entities in the order of the source."""
+    return entities.orderBy(order).limit(n)
+
+
 def early_stop_holdout(pairs: DataFrame, share: float = 0.1, seed: int = 1) -> DataFrame:
     """``pairs`` with holdout true for a share of the queries."""
     return pairs.withColumn("holdout", hash_share("q_id", seed=seed) < share)

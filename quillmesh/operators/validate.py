@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_ids
@@ -35,6 +35,16 @@ def list_findings(rows: DataFrame, required: DataFrame, valid: DataFrame | None
     return union_all(checks)
 
 
+def file_findings(spark: SparkSession, path: str, name: str = "matching") -> DataFrame:
+    """Findings on the file itself: no rows at all, no header of entity ids, commas in place of tabs."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("key"))
+    header = F.lower(F.col("key")).startswith("source1_entity_id")
+    n, heads, tabs, commas = lines.agg(F.count("*"), F.count(F.when(header, 1)), F.count(F.when(F.col("key").contains("\t"), 1)), F.count(F.when(~F.col("key").contains("\t") & F.col("key").rlike("^[^,]+,S[0-9]+-"), 1))).first()
+    rules = [(n == 0, "empty file"), (n > 0 and heads == 0, "no header"), (heads > 1, "repeated header"), (n > 0 and tabs == 0 and commas > 0, "commas in place of tabs")]
+    rows = [(f"{name}: {rule}", "error", 1, path) for found, rule in rules if found]
+    return spark.createDataFrame(rows, "rule string, severity string, n long, examples string")
+
+
 def validate(matching: DataFrame, candidates: DataFrame | None, required: DataFrame, valid: DataFrame | None = None) -> DataFrame:
     """All rules with at least one offender; matches outside the candidates are a warning."""
     parts = [list_findings(matching, required, valid)]

@@ -6,6 +6,7 @@ vec_id % 3 as the source and label in the role of the country. Budgets are small
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -24,7 +25,7 @@ from .operators import sampling as P
 from .operators import validate as V
 from .plans import fixture
 from .plans.oracle import F_HALF, sql
-from .sources.scratch import materialize
+from .sources.scratch import materialize, shared_dir
 
 BUDGET, K = 60, 10
 RULE = D.Rule(0.5, 0.12, 0.0, 0.0, 12)
@@ -311,7 +312,7 @@ def f05_per_entity(spark, sf_dir):
     return D.per_query(p.accepted(), p.universe()).drop("fold")
 
 
-_REPORT = "count(*) AS n, round(avg(f), 6) AS mean_f, sum(tp)::BIGINT AS tp, sum(npred - tp)::BIGINT AS fp, sum(n_true - tp)::BIGINT AS fn, count(*) FILTER (WHERE npred = 0) AS empty_predictions, count(*) FILTER (WHERE n_true = 0 AND npred = 0) AS singletons_hit FROM t_perq"
+_REPORT = "count(*) AS n, round(avg(f), 6) AS mean_f, sum(tp)::BIGINT AS tp, sum(npred - tp)::BIGINT AS fp, sum(n_true - tp)::BIGINT AS fn, count(*) FILTER (WHERE npred = 0) AS empty_predictions, count(*) FILTER (WHERE n_true = 0 AND npred = 0) AS singletons_hit, round(sum(tp) / nullif(sum(npred), 0), 6) AS precision, round(sum(tp) / nullif(sum(n_true), 0), 6) AS recall FROM t_perq"
 
 
 @query(f"SELECT country, bucket, {_REPORT} GROUP BY country, bucket")
@@ -370,7 +371,7 @@ def oracle_f05(spark, sf_dir):
     return D.per_query(p.scored().where("label = 1"), p.universe()).select("q_id", "n_true", "tp", "npred", "f")
 
 
-@query("""SELECT pattern, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN q_core <> '' AND coalesce(n_rare, 0) = 0 THEN 'generic_name' WHEN a_empty_p > 0.5 OR a_empty_q > 0.5 THEN 'empty_address_name_only' WHEN a_jacc >= 0.85 AND n_jacc < 0.60 THEN 'same_address_different_name'
+@query("""SELECT pattern, count(*) AS n, array_to_string(list(q_id || ':' || rec_id ORDER BY q_id, rec_id)[1:3], ',') AS examples, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT q_id, rec_id, CASE WHEN q_core <> '' AND coalesce(n_rare, 0) = 0 THEN 'generic_name' WHEN a_empty_p > 0.5 OR a_empty_q > 0.5 THEN 'empty_address_name_only' WHEN a_jacc >= 0.85 AND n_jacc < 0.60 THEN 'same_address_different_name'
   WHEN n_jacc >= 0.90 AND a_jacc < 0.45 THEN 'same_name_different_address(chain)' WHEN legal_state = 2 AND n_jacc >= 0.80 THEN 'legal_form_mismatch' WHEN n_contain >= 0.95 AND n_jacc < 0.60 THEN 'name_containment(parent/subsidiary)' WHEN n_jacc < 0.70 AND a_jacc < 0.70 THEN 'weak_on_both_fields' WHEN n_true > 0 THEN 'sibling_of_a_true_match' ELSE 'other' END AS pattern
   FROM t_acc a JOIN t_univ USING (q_id) LEFT JOIN (SELECT t.entity_id AS q_id, count(*) AS n_rare FROM t_ctok t LEFT JOIN t_cdf d ON d.ref = 2 AND d.token = t.token WHERE t.src = 1 AND coalesce(df, 0) < 3000 GROUP BY ALL) r USING (q_id) WHERE label = 0) GROUP BY pattern""")
 def fp_patterns(spark, sf_dir):
@@ -472,8 +473,10 @@ def calibrate(spark, sf_dir):
     return M.calibration_table(M.calibrated(M.calibrate(scored), scored))
 
 
-@query("""SELECT count(*) AS n, sum(label)::BIGINT AS n_pos, round(sum(label * cp / cn) / sum(label), 6) AS ap FROM (
-  SELECT label, sum(label) OVER (ORDER BY score DESC) AS cp, count(*) OVER (ORDER BY score DESC) AS cn FROM t_scored)""")
+@query("""SELECT count(*) AS n, sum(label)::BIGINT AS n_pos, round(sum(label * cp / cn) / sum(label), 6) AS ap,
+  round(sum(label * (below + same / 2.0)) / (sum(label) * sum(1 - label)), 6) AS roc_auc FROM (
+  SELECT label, sum(label) OVER (ORDER BY score DESC) AS cp, count(*) OVER (ORDER BY score DESC) AS cn, sum(1 - label) OVER (PARTITION BY score) AS same,
+    sum(1 - label) OVER () - sum(1 - label) OVER (ORDER BY score DESC) AS below FROM t_scored)""")
 def average_precision(spark, sf_dir):
     return M.average_precision(Plan(spark, sf_dir).scored())
 
@@ -500,6 +503,87 @@ def resolve_entities(spark, sf_dir):
     return D.submission(scored, accepted, p.queries)
 
 
+@query("SELECT count(*) AS n, round(avg(n_true), 6) AS mean_matches, max(n_true) AS max_matches, round(avg(CASE WHEN n_true = 0 THEN 1.0 ELSE 0.0 END), 6) AS singleton_share FROM t_univ")
+def gt_summary(spark, sf_dir):
+    return G.truth_summary(Plan(spark, sf_dir).universe())
+
+
+@query("SELECT country, bucket, count(*) AS n_true, count(c.rec_id) AS found, round(count(c.rec_id) / count(*), 6) AS recall FROM t_truth t JOIN t_univ USING (q_id) LEFT JOIN t_union c ON c.q_id = t.q_id AND c.rec_id = t.rec_id GROUP BY country, bucket")
+def blocking_recall_by_stratum(spark, sf_dir):
+    p = Plan(spark, sf_dir)
+    return C.recall_by(p.union(), p.truth, p.universe().select("q_id", "country", "bucket"), ["country", "bucket"])
+
+
+@query("""SELECT kind, place::INT AS place, e.q_id, e.rec_id, score, q.business_name AS q_name, q.business_address AS q_address, p.business_name AS p_name, p.business_address AS p_address FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, q_id, rec_id) AS place FROM (
+    SELECT 'false_merge' AS kind, q_id, rec_id, score FROM t_acc WHERE label = 0
+    UNION ALL SELECT 'missed', q_id, rec_id, score FROM t_scored s WHERE label = 1 AND NOT EXISTS (SELECT 1 FROM t_acc a WHERE a.q_id = s.q_id AND a.rec_id = s.rec_id))) e
+  JOIN t_rec q ON q.entity_id = e.q_id JOIN t_rec p ON p.entity_id = e.rec_id WHERE place <= 20""")
+def error_report(spark, sf_dir):
+    """The 20 worst errors of each kind, with the records as they were given."""
+    p = Plan(spark, sf_dir)
+    return G.error_report(p.scored().select(*PAIR), p.accepted().select(*PAIR), p.raw)
+
+
+@query("SELECT entity_id, country FROM t_rec WHERE src = 1 ORDER BY CAST(substr(entity_id, 4) AS BIGINT) LIMIT 100")
+def first_entities(spark, sf_dir):
+    """The first 100 entities of source 1, in its order."""
+    one = Plan(spark, sf_dir).raw.where("src = 1").withColumn("number", F.substring("entity_id", 4, 30).cast("long"))
+    return P.first_entities(one, 100, "number").select("entity_id", "country")
+
+
+@query("SELECT q_id, src, rec_id, score, rank::INT AS rank FROM t_found WHERE field = 'name'")
+def retrieve_from_index(spark, sf_dir):
+    """Retrieval from an index that was written and loaded."""
+    p = Plan(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    R.write_index(folder, p.vocab, p.toks.where("src > 1"), p.norms)
+    vocab, postings, norms = R.load_index(spark, folder)
+    found = R.retrieve(R.select_tokens(p.toks.where("src = 1").drop("src"), vocab, BUDGET), postings, norms, K)
+    return found.where("field = 'name'").drop("field")
+
+
+@query("""SELECT kind, k::INT AS k, count(*) AS n, count(*) FILTER (WHERE est_rank < k) AS recovered, round(count(*) FILTER (WHERE est_rank < k) / count(*), 6) AS recovery, round(0.9 + 0.1 * (count(*) FILTER (WHERE est_rank < k) / count(*)), 6) AS projected FROM (
+  SELECT unnest([CASE WHEN q_id % 2 = 0 THEN 'cross_script' ELSE 'same_script' END, 'all']) AS kind, est_rank FROM (
+    SELECT t.q_id, count(d.rec_id) * 2.0 AS est_rank FROM (SELECT q_id, max(rec_id) AS rec_id FROM t_vtruth GROUP BY q_id) t JOIN t_dots s ON s.q_id = t.q_id AND s.rec_id = t.rec_id
+    LEFT JOIN t_dots d ON d.q_id = t.q_id AND d.rec_id <> t.rec_id AND d.cos > s.cos GROUP BY t.q_id, t.rec_id)), (SELECT unnest([5, 10, 25, 50]) AS k) GROUP BY kind, k""")
+def encoder_probe(spark, sf_dir):
+    """Recovery of the probe's pairs by list length; on vectors without scripts, odd ids stand for the one kind."""
+    kind = F.when(F.col("q_id") % 2 == 0, "cross_script").otherwise("same_script")
+    return G.probe_summary(_QUERIES["distractor_rank"](spark, sf_dir), kind, [5, 10, 25, 50], 0.9)
+
+
+@query("SELECT fold, count(*) AS n FROM (SELECT (row_number() OVER () - 1) % 5 AS fold FROM t_univ) GROUP BY fold")
+def equal_fold_sizes(spark, sf_dir):
+    """Sizes of the folds that ``equal_folds`` deals; which entity is in which is an order of hashes."""
+    return P.equal_folds(Plan(spark, sf_dir).universe().select("q_id")).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
+
+
+RELATIVE = "n_cands n_near_best s0_rank s0_d_best s0_r_best s0_d_second nt_rank nt_d_best at_rank at_d_best dcos_rank dcos_d_best s0_rank_src s0_z s0_is_best".split()
+FEATURES = ["blk_name", "blk_addr", "dense_cos", "dense_rank", "in_dense", "q_name_rarity", "p_name_rarity", "q_addr_sat", "p_addr_sat", *X.SET_FEATURES, *X.FUZZY, "s0", *RELATIVE]
+
+
+@query()
+def match_entities(spark, sf_dir):
+    """The learned chain: sparse and dense candidates, all features, trees with early stopping scored out of fold,
+    calibration, rule, conflict resolution; one row per query."""
+    p = Plan(spark, sf_dir)
+    text = N.encoder_text(F.col("name"), F.col("addr"))
+    vectors = C.encode(p.records, C.hashed_grams(), text, 64).join(p.records.select("entity_id", "src", "country"), "entity_id")
+    vectors = materialize(vectors, "vectors")
+    dense = C.dense_topk(vectors.where("src = 1").withColumnRenamed("entity_id", "q_id"), vectors.where("src > 1").withColumnRenamed("entity_id", "rec_id"), K)
+    pairs = C.with_dense(p.union(), dense, K)
+    full = S.fuzzy_features(X.set_features(C.attributed(pairs, p.records))).withColumn("s0", X.base_score())
+    full = X.relative(full, dense="dense_cos").select(*_KEYS, *FEATURES)
+    full = P.early_stop_holdout(P.folds(C.label(full, p.truth), 2))
+    full = materialize(full.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES}), "features")
+    raw = materialize(M.out_of_fold(full, FEATURES, 2, rounds=10, holdout="holdout").select(*_KEYS, "label", "raw"), "raw")
+    scored = M.calibrated(M.calibrate(raw), raw).withColumn("score", F.round("score", 6)).select(*PAIR)
+    scored = materialize(scored, "calibrated")
+    accepted = D.resolve(D.accept(scored, D.Rule(0.5, 0.3)), "production")
+    return D.submission(scored, accepted, p.queries)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

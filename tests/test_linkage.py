@@ -117,3 +117,74 @@ def test_files(spark, tmp_path):
     sinks.write_once(rows.limit(0), f"{tmp_path}/once")
     assert spark.read.parquet(f"{tmp_path}/once").count() == 2
     assert tables.read_ids(spark, f"{tmp_path}/candidate_pairs.tsv").count() == 2
+
+
+def test_dense_topk_keeps_the_best_over_tiles(spark, monkeypatch):
+    q = spark.createDataFrame([("q1", 0, [1.0, 0.0]), ("q2", 0, [0.0, 1.0])], "q_id string, country int, embedding array<float>")
+    p = spark.createDataFrame([(2, f"r{i}", 0, [float(i % 4), float(-i)]) for i in range(12)], "src int, rec_id string, country int, embedding array<float>").repartition(2)
+    monkeypatch.setattr(C, "TILE", 2)
+    got = sorted((r.q_id, r["rank"], r.rec_id) for r in C.dense_topk(q, p, 3).collect())
+    assert got == [("q1", 0, "r11"), ("q1", 1, "r3"), ("q1", 2, "r7"), ("q2", 0, "r0"), ("q2", 1, "r1"), ("q2", 2, "r2")]
+
+
+def test_index_is_loaded_as_written(spark, tmp_path):
+    vocab = spark.createDataFrame([(2, "a", 3, 0.5), (3, "b", 1, 2.0)], "src int, token string, df long, idf double")
+    postings = spark.createDataFrame([(2, "S2-1", "name", "a", 0)], "src int, entity_id string, field string, token string, pos int")
+    norm = spark.createDataFrame([(2, "S2-1", "name", 1.0)], "src int, entity_id string, field string, norm double")
+    R.write_index(str(tmp_path), vocab, postings, norm)
+    for wrote, read in zip((vocab, postings, norm), R.load_index(spark, str(tmp_path))):
+        assert read.columns == wrote.columns and sorted(map(tuple, read.collect())) == sorted(map(tuple, wrote.collect()))
+
+
+def test_equal_folds(spark):
+    df = spark.createDataFrame([(f"S1-{i}",) for i in range(503)], "q_id string")
+    got = P.equal_folds(df, 4)
+    assert sorted(r["count"] for r in got.groupBy("fold").count().collect()) == [125, 126, 126, 126]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.equal_folds(df.repartition(7), 4).collect()))
+
+
+def test_file_findings(spark, tmp_path):
+    cases = {"": ["empty file"], "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\n": [], "S1-1\tS2-1\n": ["no header"], "source1_entity_id,matched_entity_ids\nS1-1,S2-1\n": ["commas in place of tabs"]}
+    for i, (text, expected) in enumerate(cases.items()):
+        path = tmp_path / f"{i}.tsv"
+        path.write_text(text)
+        assert [r.rule for r in V.file_findings(spark, str(path)).collect()] == [f"matching: {x}" for x in expected]
+
+
+def test_early_stopping_and_models_on_disk(spark, tmp_path):
+    noise = F.pmod(F.xxhash64("id"), F.lit(10)) < 4
+    rows = spark.range(400).select((F.col("id") % 7).cast("double").alias("x"), F.when(noise, (F.col("id") % 7) <= 3).otherwise((F.col("id") % 7) > 3).cast("int").alias("label"), (F.col("id") % 5 == 0).alias("holdout"))
+    model = M.fit(rows, ["x"], rounds=60, holdout="holdout")
+    assert model.getNumTrees < 60
+    M.save(model, str(tmp_path / "m"))
+    again = M.load(str(tmp_path / "m"))
+    assert sorted(r.raw for r in M.predict(again, rows, ["x"]).collect()) == sorted(r.raw for r in M.predict(model, rows, ["x"]).collect())
+    assert M.importances(model, ["x"], spark).first().feature == "x" and M.final_rounds([10, 20]) == 22
+    blended = M.blend(rows.withColumn("a", F.lit(0.2)).withColumn("b", F.lit(0.4)), ["a", "b"]).first()
+    assert round(blended.score, 6) == 0.3
+
+
+def test_hashed_grams(spark):
+    records = spark.createDataFrame([("a", "acme inc"), ("b", "acme inc"), ("c", ""), ("d", None)], "entity_id string, name string")
+    got = {r.entity_id: r.embedding for r in C.encode(records, C.hashed_grams(16), F.col("name"), 16).collect()}
+    assert got["a"] == got["b"] and abs(sum(x * x for x in got["a"]) - 1) < 1e-6 and len(got["d"]) == 16
+
+
+def test_sources(spark, tmp_path):
+    folder = tmp_path / "train"
+    folder.mkdir()
+    (folder / "train_source2.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS2-1\tAcme\t\tUS\n")
+    got = tables.load_source(spark, str(tmp_path), "train", 2)
+    assert [tuple(r) for r in got.collect()] == [("S2-1", "Acme", "", "US", 2)]
+    assert tables.load_source(spark, str(tmp_path), "train", 2, ["entity_id"]).columns == ["entity_id", "src"]
+    records = spark.createDataFrame([("S1-1", 1), ("S1-2", 1), ("S2-1", 2)], "entity_id string, src int")
+    assert [r.entity_id for r in tables.load_queries(records, records.where("entity_id = 'S1-2'")).collect()] == ["S1-2"] and tables.load_queries(records).count() == 2
+    (tmp_path / "truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-4\nS1-2\t\n")
+    assert sorted(map(tuple, tables.truth_pairs(tables.load_truth(spark, str(tmp_path / "truth.tsv"))).collect())) == [("S1-1", "S2-1"), ("S1-1", "S3-4")]
+    dense = spark.createDataFrame([("S1-1", 2, "x", 0.5, 0), ("S1-1", 2, "y", 0.4, 1), ("S1-2", 2, "x", 0.3, 0)], "q_id string, src int, rec_id string, cos double, rank int")
+    dense.write.parquet(str(tmp_path / "dense"))
+    assert tables.load_dense(spark, str(tmp_path / "dense"), 1).count() == 2
+    assert [r.rec_id for r in tables.load_dense(spark, str(tmp_path / "dense"), 5, spark.createDataFrame([("S1-2",)], "q_id string")).collect()] == ["x"]
+    rows = spark.createDataFrame([("S1-1", "S2-1,S2-2", "US", "2")], "q_id string, matched string, country string, bucket string")
+    sinks.write_truth(rows, str(tmp_path / "t"), str(tmp_path / "m"))
+    assert [r.ids for r in tables.load_truth(spark, str(tmp_path / "t")).collect()] == [["S2-1", "S2-2"]]
