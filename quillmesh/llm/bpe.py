@@ -161,7 +161,7 @@ def tokenize(docs: DataFrame, path: str | None = None, text: str = "text", ids:
                 cols = [rows.column(rows.schema.get_field_index(c)) for c in kept] + [made[f[0]] for f in fields]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(f[0] for f in fields)])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(K.give_back(run), schema)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -208,7 +208,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
                 cols = [rows.column(rows.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*cols, *_result(words, found)], names=[*kept, *RESULT.names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT.fields]))
+    return docs.mapInArrow(K.give_back(run), T.StructType([*docs.schema.fields, *RESULT.fields]))
 
 
 def _annotate_joined(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, text: str) -> DataFrame:

@@ -200,7 +200,7 @@ def annotate(docs: DataFrame, window: int = WINDOW, text: str = "text", stable:
     size, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)), F.count("*")).first()
     n_parts = max(8 * parts(docs.sparkSession), size // RANGE_BYTES + 1)
     bits = min(BLOCK_BITS, max(0, int(BLOCK_BYTES * n_rows // (size + 1)).bit_length() - 1))
-    entries = source.select(ROW, text).mapInArrow(_windows(window, n_parts, text), "part int, known boolean, blob binary")
+    entries = source.select(ROW, text).mapInArrow(K.give_back(_windows(window, n_parts, text)), "part int, known boolean, blob binary")
     places = entries.groupBy("part").applyInArrow(lambda table: _count(table, bits), "block long, blob binary")
     found = places.repartition("block").sortWithinPartitions("block").mapInArrow(_split(bits), f"{ROW} long, places binary")
     joined = source.join(found, ROW, "left").drop(ROW)
@@ -240,7 +240,7 @@ def annotate(docs: DataFrame, window: int = WINDOW, text: str = "text", stable:
                     cols.append(pa.array([x.decode() for x in texts], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *names])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(K.give_back(cut), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

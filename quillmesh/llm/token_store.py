@@ -169,7 +169,7 @@ def write_store(docs: DataFrame, uri: str, path: str | None = None, shards: int
         ends = [named.min(), named.max()] if len(named) else [None, None]
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([token], pa.int64()), *(pa.array([x], pa.int64()) for x in ends)], names=["shard", "docs", "tokens", "least", "most"])
 
-    encoded = materialize(docs.mapInArrow(encode, "doc_id long, n long, payload binary"), "token-rows")
+    encoded = materialize(docs.mapInArrow(K.give_back(encode), "doc_id long, n long, payload binary"), "token-rows")
     size = encoded.agg(F.coalesce(F.sum(F.length("payload").cast("long") + INDEX.itemsize), F.lit(0))).first()[0]
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("payload").asc()]  # rows of one id can be dealt to several shards
     ordered = encoded.repartitionByRange(shards or max(parts(spark), size // SHARD_BYTES + 1), *order).sortWithinPartitions(*order)
