@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Only on one machine (a local master, as in tests) and where it is unset a temporary
     folder, which is then set; on a cluster an unset folder is an error."""
@@ -26,6 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read rather than a recomputation. ``discard`` removes what is no longer needed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
@@ -44,5 +48,21 @@ def discard(*tables: DataFrame) -> None:
     go when the driver collects its garbage, which it may not do for long by itself."""
     for table in tables:
         remove(table.sparkSession, table._scratch)
+        if table._scratch in _made:
+            _made.remove(table._scratch)
     gc.collect()
     tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def mark() -> int:
+    """For ``sweep``: the tables made from now on."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables that ``materialize`` has made since a mark and that are still there, once what was read from
+    them is written."""
+    while len(_made) > since:
+        remove(spark, _made.pop())
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
