@@ -5,8 +5,10 @@ it. The root names the lowest rank, and going down to the left child where it is
 place. A merge changes three leaves, each brought up in O(log n); a piece of n symbols takes O(n log n) however
 long it is. Encoding is done once for each distinct piece that a worker meets.
 
-Defined cases: a null or empty text has no tokens and decodes to the empty text; repeated rows are encoded
-alike; extra columns pass through, those with the names of the results are replaced.
+Decoding goes from the ids of a text to its tokens, joined as the file declares.
+
+Defined cases: an empty table gives no rows; a null or empty text has no tokens and decodes to the empty text; texts
+may be as long as a batch can hold; of equal ranks the leftmost merges first; repeated rows are encoded alike; extra columns pass through, those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -92,8 +94,11 @@ def encode(text: str | None, path: str | None = None) -> list[int]:
 
 def decode(ids: list[int], path: str | None = None) -> str:
     """The tokens of ids, joined as the file declares (it names no decoder: one space between tokens)."""
-    tokens = vocabulary(path or default_vocabulary()).tokens
-    return " ".join(tokens[i] for i in ids if i in tokens)
+    return _decoded(ids, vocabulary(path or default_vocabulary()).tokens)
+
+
+def _decoded(ids: list[int], tokens: dict[int, str]) -> str:
+    return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 def _maker(vocab: Vocabulary):
@@ -101,7 +106,7 @@ def _maker(vocab: Vocabulary):
 
 
 class _Strings:
-    """For each numbered piece: how many tokens, its ids and its tokens as text."""
+    """For each numbered piece: how many tokens, and its ids as text."""
 
     def __init__(self) -> None:
         self.of: object = None
@@ -110,17 +115,14 @@ class _Strings:
     def clear(self) -> None:
         self.counts: list[int] = []
         self.ids: list[bytes] = []
-        self.tokens: list[bytes] = []
 
     def follow(self, cache) -> None:
         if self.of is not cache.values:
             self.of = cache.values
             self.clear()
-        tokens = cache.vocab.tokens
         for ids in cache.values[len(self.counts) :]:
             self.counts.append(len(ids))
             self.ids.append(" ".join(map(str, ids)).encode())
-            self.tokens.append(" ".join([tokens[i] for i in ids]).encode())
 
 
 def tokenize(docs: DataFrame, path: str | None = None, text: str = "text", ids: bool = True, decoded: bool = False, digests: bool = False) -> DataFrame:
@@ -151,13 +153,14 @@ def tokenize(docs: DataFrame, path: str | None = None, text: str = "text", ids:
                 if decoded or digests:
                     order, bounds = numbers.tolist(), first.tolist()
                     spans = [order[a:b] for a, b in zip(bounds, bounds[1:])]
-                    words = strings.tokens
+                    values, tokens = cache.values, cache.vocab.tokens
+                    texts = [_decoded([i for piece in x for i in values[piece]], tokens) for x in spans]
                     if decoded:
-                        made["decoded"] = pa.array([b" ".join([words[i] for i in x]).decode() for x in spans], pa.string())
+                        made["decoded"] = pa.array(texts, pa.string())
                     if digests:
                         digits = strings.ids
                         made["ids_sha256"] = pa.array([hashlib.sha256(b" ".join([digits[i] for i in x])).hexdigest() for x in spans])
-                        made["decoded_sha256"] = pa.array([hashlib.sha256(b" ".join([words[i] for i in x])).hexdigest() for x in spans])
+                        made["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts])
                 cols = [rows.column(rows.schema.get_field_index(c)) for c in kept] + [made[f[0]] for f in fields]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(f[0] for f in fields)])
 

@@ -1,52 +1,13 @@
-"""Where intermediate tables go: the shared folder that the cluster names."""
+"""Intermediate tables and the sizes that the operators go by."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, mark, materialize, remove, shared_dir, sweep
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``. Only on one machine (a local master, as in tests) and where it is unset a temporary
-    folder, which is then set; on a cluster an unset folder is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: its lineage ends there, and a lost
-    executor costs a re-read rather than a recomputation. ``discard`` removes what is no longer needed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._scratch = path
-    return table
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder, whatever the store."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing lazy reads any more. The shuffle files of the jobs that made them
-    go when the driver collects its garbage, which it may not do for long by itself."""
-    for table in tables:
-        remove(table.sparkSession, table._scratch)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+__all__ = ["discard", "least_hashes", "mark", "materialize", "parts", "remove", "shared_dir", "sweep"]
 
 
 def parts(spark: SparkSession) -> int:

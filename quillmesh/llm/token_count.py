@@ -6,8 +6,9 @@ link's target. One pass over the bytes of a word then counts its pieces, whateve
 vocabulary. The vocabulary is the token set of the file without word-end marks; it holds every byte, so that
 every word has pieces.
 
-Defined cases: a null or empty text has 0 words and 0 tokens; repeated rows count alike; extra columns pass
-through, those with the names of the results are replaced.
+Defined cases: an empty table gives no rows; a null or empty text has 0 words and 0 tokens; texts may be as long as
+a batch can hold; where several pieces match the longest is taken, so that nothing ties; repeated rows count alike;
+extra columns pass through, those with the names of the results are replaced.
 """
 
 from __future__ import annotations
