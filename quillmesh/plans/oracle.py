@@ -7,6 +7,8 @@ import re
 from ..functions import lexicon as L
 
 _DEFS: dict[str, str] = {}
+#: The words of a text in order, joined.
+SORTED = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda x: x <> '')), ' ')"
 
 
 def _map(values: dict) -> str:

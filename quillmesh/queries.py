@@ -24,7 +24,7 @@ from .operators import retrieval as R
 from .operators import sampling as P
 from .operators import validate as V
 from .plans import fixture
-from .plans.oracle import F_HALF, sql
+from .plans.oracle import F_HALF, SORTED, define, sql
 from .sources.scratch import materialize, shared_dir
 
 BUDGET, K = 60, 10
@@ -283,7 +283,7 @@ def label_pairs(spark, sf_dir):
     return Plan(spark, sf_dir).scored().select(*PAIR)
 
 
-@query()
+@query("SELECT q_id, src, rec_id, score, label FROM t_scored WHERE label = 1 OR ('0x' || substr(md5(q_id || ':' || rec_id || ':0'), 1, 8))::BIGINT % 1000000 < 300000")
 def negative_sample(spark, sf_dir):
     return C.sample_negatives(Plan(spark, sf_dir).scored().select(*PAIR), 0.3)
 
@@ -434,17 +434,20 @@ def submission_rows(spark, sf_dir):
     return D.submission(scored, D.accept(scored, RULE), p.queries)
 
 
-@query()
+@query("""SELECT q_id, country, bucket, CASE WHEN r <= v THEN 'val' WHEN r <= v + f THEN 'fit' END AS part FROM (SELECT *, least(greatest(round_even(300 * m / n, 0)::BIGINT, 1), m - v) AS f FROM (
+  SELECT *, least(greatest(round_even(100 * m / n, 0)::BIGINT, 1), m) AS v FROM (SELECT q_id, country, bucket, count(*) OVER g AS m, count(*) OVER () AS n, row_number() OVER (g ORDER BY md5(q_id || ':0'), q_id) AS r FROM t_univ WINDOW g AS (PARTITION BY country, bucket))))""")
 def stratified_split(spark, sf_dir):
     return P.stratified_split(Plan(spark, sf_dir).universe().select("q_id", "country", "bucket"), 100, 300)
 
 
-@query()
+@query("SELECT q_id, country, (('0x' || substr(md5(q_id || ':0'), 1, 8))::BIGINT % 5)::INT AS fold FROM t_univ")
 def entity_folds(spark, sf_dir):
     return P.folds(Plan(spark, sf_dir).universe().select("q_id", "country"))
 
 
-@query()
+@query("""SELECT entity_id, country, place FROM (SELECT entity_id, country, coalesce(list_filter(string_split(addr, ' '), lambda x: x <> '')[-1], '') AS place FROM t_norm WHERE src = 1) JOIN (
+  SELECT country, place FROM (SELECT country, place, coalesce(sum(n) OVER (PARTITION BY country ORDER BY md5(place || ':0'), place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT country, place, count(*) AS n FROM (SELECT country, coalesce(list_filter(string_split(addr, ' '), lambda x: x <> '')[-1], '') AS place FROM t_norm WHERE src = 1) WHERE place <> '' GROUP BY ALL) WHERE n <= 60) WHERE before < 120) USING (country, place)""")
 def closed_evaluation_set(spark, sf_dir):
     q = Plan(spark, sf_dir).queries
     return P.closed_set(q.select("entity_id", "country", F.coalesce(F.get(F.reverse(N.words("addr")), F.lit(0)), F.lit("")).alias("place")), 120)
@@ -553,10 +556,33 @@ def encoder_probe(spark, sf_dir):
     return G.probe_summary(_QUERIES["distractor_rank"](spark, sf_dir), kind, [5, 10, 25, 50], 0.9)
 
 
-@query("SELECT fold, count(*) AS n FROM (SELECT (row_number() OVER () - 1) % 5 AS fold FROM t_univ) GROUP BY fold")
-def equal_fold_sizes(spark, sf_dir):
-    """Sizes of the folds that ``equal_folds`` deals; which entity is in which is an order of hashes."""
-    return P.equal_folds(Plan(spark, sf_dir).universe().select("q_id")).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))
+@query("SELECT q_id, ((row_number() OVER (ORDER BY md5(q_id || ':0'), q_id) - 1) % 5)::INT AS fold FROM t_univ")
+def equal_folds(spark, sf_dir):
+    return P.equal_folds(Plan(spark, sf_dir).universe().select("q_id"))
+
+
+define(
+    "t_strings",
+    "SELECT DISTINCT a, b FROM (" + " UNION ALL ".join(f"SELECT {f.format(p)} AS a, {f.format(q)} AS b FROM t_attr" for p, q in (("q_core", "p_core"), ("q_addr", "p_addr")) for f in ("{}", SORTED)) + ")",
+)
+# the longest common subsequence: one row of the table for each character of b, each cell a running maximum
+_CELL = "greatest(r[i + 1], CASE WHEN a[i] = ch THEN r[i] + 1 ELSE 0 END)"
+define(
+    "t_lcs",
+    f"SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 ELSE list_reduce(string_split(b, ''), lambda r, ch: list_prepend(0, list_transform(range(1, length(a) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda i: {_CELL})))), list_transform(range(0, length(a) + 1), lambda i: 0::BIGINT))[-1] END AS l FROM t_strings",
+)
+_SHARE = "round(CASE WHEN {0} = '' OR {1} = '' THEN 0 ELSE {2} END, 6)"
+_TWICE = "2.0 * {0}.l / (length({0}.a) + length({0}.b))"
+
+
+@query(f"""SELECT q_id, src, rec_id, {_SHARE.format('q_core', 'p_core', _TWICE.format('n'))} AS n_lev, {_SHARE.format('q_core', 'p_core', _TWICE.format('ns'))} AS n_toksort, {_SHARE.format('q_core', 'p_core', 'n.l / greatest(length(q_core), length(p_core))')} AS n_lcs,
+  {_SHARE.format('q_addr', 'p_addr', _TWICE.format('d'))} AS a_lev, {_SHARE.format('q_addr', 'p_addr', _TWICE.format('ds'))} AS a_toksort
+  FROM t_attr JOIN t_lcs n ON n.a = q_core AND n.b = p_core JOIN t_lcs ns ON ns.a = {SORTED.format('q_core')} AND ns.b = {SORTED.format('p_core')}
+  JOIN t_lcs d ON d.a = q_addr AND d.b = p_addr JOIN t_lcs ds ON ds.a = {SORTED.format('q_addr')} AND ds.b = {SORTED.format('p_addr')}""")
+def pair_alignment(spark, sf_dir):
+    """The alignment features that one common subsequence gives."""
+    p = Plan(spark, sf_dir)
+    return S.fuzzy_features(C.attributed(p.union(), p.records)).select(*_KEYS, "n_lev", "n_toksort", "n_lcs", "a_lev", "a_toksort")
 
 
 RELATIVE = "n_cands n_near_best s0_rank s0_d_best s0_r_best s0_d_second nt_rank nt_d_best at_rank at_d_best dcos_rank dcos_d_best s0_rank_src s0_z s0_is_best".split()
