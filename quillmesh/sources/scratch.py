@@ -43,15 +43,19 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def collect(spark: SparkSession) -> None:
+    """The shuffle files of past jobs go when the driver collects its garbage, which it may not do for long by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing lazy reads any more. The shuffle files of the jobs that made them
-    go when the driver collects its garbage, which it may not do for long by itself."""
+    """Delete tables of ``materialize`` that nothing lazy reads any more, and the shuffle files of their jobs."""
     for table in tables:
         remove(table.sparkSession, table._scratch)
         if table._scratch in _made:
             _made.remove(table._scratch)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    collect(tables[0].sparkSession)
 
 
 def mark() -> int:
@@ -64,5 +68,4 @@ def sweep(spark: SparkSession, since: int) -> None:
     them is written."""
     while len(_made) > since:
         remove(spark, _made.pop())
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    collect(spark)
