@@ -22,6 +22,16 @@ _MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 
+def trim() -> None:
+    """Return freed memory to the system."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def give_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``run`` that returns its freed memory to the system when a task ends: workers live on between stages."""
 
@@ -29,12 +39,7 @@ def give_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from run(batches)
         finally:
-            _powers.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                with contextlib.suppress(OSError, AttributeError):  # a C library without it
-                    ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return wrapped
 
