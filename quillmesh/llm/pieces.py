@@ -21,7 +21,7 @@ from . import kernels as K
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
 #: Distinct pieces held by a worker; beyond it the cache starts anew (only speed depends on it).
-CACHE = 200_000
+CACHE = 400_000
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[32, 9, 10, 11, 12, 13]] = 0

@@ -45,6 +45,7 @@ SAMPLE_DOCS = 512
 SAMPLE_CHARS = 8192
 SAMPLE_WINDOWS = 4
 SHARD_BYTES = 128 << 20
+ENCODE_PIECES = 8192
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 READ_BYTES = 8 << 20
@@ -62,7 +63,14 @@ def _maker_for(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        return lambda pieces: [e.ids for e in tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)] if pieces else []
+
+        def encode(pieces: list[bytes]) -> list[list[int]]:
+            out: list[list[int]] = []
+            for a in range(0, len(pieces), ENCODE_PIECES):  # the library's results are many times the ids
+                out.extend(e.ids for e in tokenizer.encode_batch([p.decode() for p in pieces[a : a + ENCODE_PIECES]], add_special_tokens=False))
+            return out
+
+        return encode
 
     return make
 
