@@ -271,7 +271,7 @@ def base_score(spark, sf_dir):
 @query("""SELECT q_id, src, rec_id, count(*) OVER g::DOUBLE AS n_cands, sum(CASE WHEN round(score - best, 6) >= -0.05 THEN 1.0 ELSE 0.0 END) OVER g::DOUBLE AS n_near_best, rank::DOUBLE AS s0_rank, round(score - best, 6) AS s0_d_best,
   round(CASE WHEN best > 1e-6 THEN score / best ELSE 0 END, 6) AS s0_r_best, round(score - coalesce(nth_value(score, 2) OVER (PARTITION BY q_id ORDER BY score DESC, src, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0), 6) AS s0_d_second,
   (row_number() OVER (PARTITION BY q_id ORDER BY n_jacc DESC, src, rec_id) - 1)::DOUBLE AS nt_rank, round(n_jacc - max(n_jacc) OVER g, 6) AS nt_d_best, (row_number() OVER (PARTITION BY q_id ORDER BY a_jacc DESC, src, rec_id) - 1)::DOUBLE AS at_rank, round(a_jacc - max(a_jacc) OVER g, 6) AS at_d_best,
-  (row_number() OVER (PARTITION BY q_id, src ORDER BY score DESC, rec_id) - 1)::DOUBLE AS s0_rank_src, round(CASE WHEN stddev_pop(score) OVER g > 1e-6 THEN (score - avg(score) OVER g) / stddev_pop(score) OVER g ELSE 0 END, 4) AS s0_z, CASE WHEN rank = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS s0_is_best
+  (row_number() OVER (PARTITION BY q_id, src ORDER BY score DESC, rec_id) - 1)::DOUBLE AS s0_rank_src, round(CASE WHEN stddev_pop(score) OVER g > 1e-6 THEN (score - avg(score) OVER g) / stddev_pop(score) OVER g ELSE 0 END, 4) + 0.0 AS s0_z, CASE WHEN rank = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS s0_is_best
   FROM t_rank WINDOW g AS (PARTITION BY q_id)""")
 def relative_features(spark, sf_dir):
     s = Plan(spark, sf_dir).scored().select(*PAIR, "n_jacc", "a_jacc")
