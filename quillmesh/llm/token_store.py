@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .pieces import Vocabulary, default_vocabulary, pieces_of, split_text, vocabulary
+from .pieces import Vocabulary, byte_letters, default_vocabulary, pieces_of, split_text, vocabulary
 from .storage import discard, least_hashes, materialize, parts, shared_dir
 
 END_ID = 1
@@ -45,7 +45,6 @@ SAMPLE_DOCS = 512
 SAMPLE_CHARS = 8192
 SAMPLE_WINDOWS = 4
 SHARD_BYTES = 128 << 20
-ENCODE_PIECES = 8192
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 READ_BYTES = 8 << 20
@@ -54,23 +53,15 @@ FOOTER = np.dtype([("index", "<i8"), ("docs", "<i8"), ("tokens", "<i8")])
 
 
 def _maker_for(path: str):
-    """Encodes pieces with the tokenizers library."""
+    """Encodes pieces with the model of the tokenizers library; they are normalised and cut already."""
 
     def make(vocab: Vocabulary):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-
-        def encode(pieces: list[bytes]) -> list[list[int]]:
-            out: list[list[int]] = []
-            for a in range(0, len(pieces), ENCODE_PIECES):  # the library's results are many times the ids
-                out.extend(e.ids for e in tokenizer.encode_batch([p.decode() for p in pieces[a : a + ENCODE_PIECES]], add_special_tokens=False))
-            return out
-
-        return encode
+        tokenize = Tokenizer.from_file(path).model.tokenize
+        letters = dict(enumerate(byte_letters()))
+        return lambda pieces: [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
 
     return make
 
