@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import features as X
 from quillmesh.operators import candidates as C
 from quillmesh.operators import decisions as D
+from quillmesh.operators import diagnostics as G
 from quillmesh.operators import model as M
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import sampling as P
@@ -188,3 +189,32 @@ def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([("S1-1", "S2-1,S2-2", "US", "2")], "q_id string, matched string, country string, bucket string")
     sinks.write_truth(rows, str(tmp_path / "t"), str(tmp_path / "m"))
     assert [r.ids for r in tables.load_truth(spark, str(tmp_path / "t")).collect()] == [["S2-1", "S2-2"]]
+
+
+def test_alike_selections_meet_the_postings_once(spark, monkeypatch):
+    n = 200
+    toks = spark.range(n).select(F.lit(2).alias("src"), F.format_string("p%03d", "id").alias("entity_id"), F.lit("name").alias("field"), F.lit("t").alias("token"))
+    norm = toks.select("src", "entity_id", "field", F.lit(1.0).alias("norm"))
+    chosen = spark.range(n).select(F.format_string("q%03d", "id").alias("q_id"), F.lit(2).alias("src"), F.lit("name").alias("field"), F.lit("t").alias("token"), F.lit(0.5).alias("idf"))
+    scored, top_k = [], R.top_k
+    monkeypatch.setattr(R, "top_k", lambda table, *more: scored.append(table.count()) or top_k(table, *more))
+    rows = R.retrieve(chosen, toks, norm, 3).collect()
+    assert scored == [n]  # not n * n
+    assert len(rows) == 3 * n and {(r.rec_id, r.rank, r.score) for r in rows} == {("p000", 0, 0.25), ("p001", 1, 0.25), ("p002", 2, 0.25)}
+
+
+def test_claim_pairs_are_counted_without_pairs(spark):
+    place = [("q1", "A", "x"), ("q2", "A", "x"), ("q3", "B", "x"), ("q4", "A", ""), ("q5", "A", "")]
+    place = spark.createDataFrame(place, "q_id string, country string, place string")
+    rows = spark.createDataFrame([(q, 2, r, 0.9, 0) for q, r in [("q1", "a"), ("q2", "a"), ("q2", "a"), ("q3", "a"), ("q4", "a"), ("q5", "a"), ("q1", "b")]], SCORED)
+    found = G.claim_pairs(rows, place)
+    assert {r.kind: r.n for r in found.collect()} == {"same": 1, "different": 2, "unknown": 7}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the place of each claim
+
+
+def test_only_asked_features_are_made(spark):
+    from quillmesh import queries as Q
+
+    p = Q.Plan(spark, "/root/testdata/sf0.001")
+    assert p.scored().columns == Q.PAIR and p.scored() is p.scored()
+    assert p.accepted("n_contain").columns == [*Q.PAIR, "n_contain"]
