@@ -8,17 +8,20 @@ Two texts whose words are the same but for a share e at scattered places have s
 in common and agree in one tuple with a chance of about (s / (2 - s))**PICKS: all SKETCHES tuples differ in 15% of
 pairs at e = 0.20, in 3% at 0.16 and in less than 0.1% at 0.12 (measured in tests/llm).
 
-Texts with the same words are one node from the start. Buckets (the texts of one tuple) are worked through in two
-rounds, both of a number of pairs in proportion to the rows:
+Texts with the same words are one node from the start. Buckets (the texts of one tuple) are worked through in three
+rounds:
 
 1. In each bucket every text is held against the shortest one of about its length; the components are taken.
 2. A bucket whose texts are then still in different components is mixed. All its pairs in different components are
-   compared if it has SMALL texts or fewer; in a larger one each text is held against one drawn for it. For
-   the texts of mixed buckets the LOWS least k-mers are keys too, worked through alike: a passage that a great many
-   unlike texts share is hot in all of its buckets, but what two of them share beside it is a key of few texts.
+   compared if it has SMALL texts or fewer; in a larger one each text is held against one drawn for it.
+3. In larger buckets that are mixed even then, all pairs in different components are compared: none is left out.
+   Buckets of the same texts are one, and blocks of BLOCK texts meet each other, so that a bucket is many groups.
 
-Classes are the components of all links. So a link can be lost only between texts that meet in no tuple, or in
-mixed buckets of more than SMALL texts alone and in no rarer k-mer; the tests hold both cases against all pairs.
+Before texts are aligned their bags are compared: counts of words by BINS ranges of their hash. An edit changes two
+counts by one at most, so pairs whose counts differ by more than twice the limit are no links. Round 3 takes time in
+proportion to the pairs of such a bucket, but only pairs that pass become rows.
+
+Classes are the components of all links, and a link can be lost only between texts that meet in no tuple.
 
 Rows are numbered by the scan, so the input has to be a table (files); others are to be written first.
 
@@ -45,10 +48,12 @@ from .storage import discard, materialize
 SHINGLE = 5
 PICKS = 2
 SKETCHES = 48
-LOWS = 32
+BINS = 128
 SIMILARITY = 0.8
-#: Keys of so many texts or fewer are worked through pair by pair.
+#: Buckets of so many texts or fewer are worked through pair by pair at once.
 SMALL = 16
+#: Texts of a block of a larger bucket, about.
+BLOCK = 1024
 #: Copies of a centre's text at most, so that the texts held against it are dealt to as many places.
 SALTS = 256
 ROW = "__row"
@@ -104,9 +109,9 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
         return v
 
 
-def lows(kmers: np.ndarray) -> np.ndarray:
-    """The LOWS distinct labelled k-mers of least hash."""
-    return np.unique(K.mix(kmers ^ _C))[:LOWS]
+def bag(h: np.ndarray) -> bytes:
+    """How many words of a text fall into each of BINS ranges of their hash, 255 at most."""
+    return np.minimum(np.bincount((K.mix(h ^ _C) >> np.uint64(32)) % np.uint64(BINS), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _content(h: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -125,7 +130,7 @@ def _lists(content: list[bytes], made: dict[bytes, np.ndarray], first_seen: list
 
 
 def _signatures(text: str):
-    """Tuples and low k-mers are written once for each content of a slice."""
+    """Tuples are written once for each content of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,14 +140,12 @@ def _signatures(text: str):
                 kmers, at = labelled_kmers(h, first)
                 content = _content(h, first)
                 tuples: dict[bytes, np.ndarray] = {}
-                low: dict[bytes, np.ndarray] = {}
                 first_seen = []
                 for i, c in enumerate(content):
                     first_seen.append(c not in tuples)
                     if c not in tuples:
                         own = kmers[at[i] : at[i + 1]]
                         tuples[c] = (sketch(own) if len(own) else own).view(np.int64)
-                        low[c] = lows(own).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(rows.schema.get_field_index(ROW)),
@@ -151,25 +154,28 @@ def _signatures(text: str):
                         pa.array(np.frombuffer(b"".join(content), np.int64)[::2]),
                         pa.array(first[1:] - first[:-1], pa.int64()),
                         _lists(content, tuples, first_seen),
-                        _lists(content, low, first_seen),
                     ],
-                    names=[ROW, "doc_id", "content", "half", "n_words", "sketch", "lows"],
+                    names=[ROW, "doc_id", "content", "half", "n_words", "sketch"],
                 )
 
     return run
 
 
 def _texts(text: str):
-    """(content, text) of texts with words, each content once for a slice."""
+    """(content, text, bag) of texts with words, each content once for a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in K.slices(batch, text):
                 starts, ends, first = K.spans(K.NOT_SPACE[data], offsets)
-                content = _content(K.span_hashes(data, starts, ends), first)
+                h = K.span_hashes(data, starts, ends)
+                content = _content(h, first)
                 seen = {c: i for i, c in enumerate(content) if first[i] < first[i + 1]}
                 own = rows.column(rows.schema.get_field_index(text)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), own.take(pa.array(list(seen.values()), pa.int64()))], names=["content", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(seen), pa.binary()), own.take(pa.array(list(seen.values()), pa.int64())), pa.array([bag(h[first[i] : first[i + 1]]) for i in seen.values()], pa.binary())],
+                    names=["content", "text", "bag"],
+                )
 
     return run
 
@@ -246,14 +252,42 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _bags(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def _limits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The edits that ``similar`` allows texts of a and b words."""
+    return ((1 - SIMILARITY) * np.maximum(a, b) + 1e-9).astype(np.int64)
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bags allow a link."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        differ = np.abs(_bags(batch.column(2)) - _bags(batch.column(3))).sum(1)
+        keep = pa.array(np.flatnonzero(differ <= 2 * _limits(batch.column(4).to_numpy(), batch.column(5).to_numpy())))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["u", "v"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar, as a written table. A centre v may be in very many pairs: these are
-    dealt by a salt, and its text is sent once to each salt in use."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
-    first = texts.select(F.col("content").alias("u"), F.col("text").alias("a"))
-    second = texts.select(F.col("content").alias("v"), F.col("text").alias("b"))
-    second = pairs.select("v", "salt").distinct().join(second, "v")
-    return materialize(pairs.join(first, "u").join(second, ["v", "salt"]).select("u", "v", "a", "b").mapInArrow(K.give_back(_verify), "u binary, v binary"), "links")
+    dealt by a salt, and its bag and text are sent once to each salt in use."""
+
+    def beside(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+        first = table.select(F.col("content").alias("u"), *[F.col(c).alias(f"{c}_u") for c in columns])
+        second = table.select(F.col("content").alias("v"), *[F.col(c).alias(f"{c}_v") for c in columns])
+        second = pairs.select("v", "salt").distinct().join(second, "v")
+        return pairs.join(first, "u").join(second, ["v", "salt"])
+
+    near = beside(pairs, sizes, ("bag", "n_words")).select("u", "v", "bag_u", "bag_v", "n_words_u", "n_words_v")
+    near = materialize(near.mapInArrow(_plausible, "u binary, v binary"), "plausible")
+    both = beside(near, texts, ("text",)).select("u", "v", F.col("text_u").alias("a"), F.col("text_v").alias("b"))
+    links = materialize(both.mapInArrow(K.give_back(_verify), "u binary, v binary"), "links")
+    discard(near)
+    return links
 
 
 def _close(other: str = "n_other") -> str:
@@ -261,36 +295,64 @@ def _close(other: str = "n_other") -> str:
     return f"abs(n_words - {other}) <= {round(1 - SIMILARITY, 9)} * greatest(n_words, {other}) + 1e-9"
 
 
-def _second_round(shared: DataFrame, signed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v), each once: the pairs of mixed buckets, and of their texts' low k-mers, that are to be compared."""
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, n, content, n_words, root) of buckets that hold texts of different components, as a written table; of
+    buckets that hold the same texts one."""
     named = shared.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     named = materialize(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    named_mixed = materialize(named.join(materialize(mixed.select("bucket"), "mixed"), "bucket", "left_semi"), "mixed-members")
-    discard(named)
-    texts = named_mixed.select("content", "n_words", "root").distinct()
-    low = signed.select("content", F.explode("lows").alias("key")).join(texts, "content")
-    groups = named_mixed.select(F.col("bucket").alias("key"), F.lit(True).alias("tuple"), "content", "n_words", "root").union(low.select("key", F.lit(False), "content", "n_words", "root"))
-    groups = materialize(groups.distinct(), "groups")
-    # a centre is the least by a hash of its own: a text of many large keys meets as many centres
-    center = F.min(F.struct(F.xxhash64("content", "key").alias("h"), "content", "n_words", "root")).alias("center")
-    keys = groups.groupBy("key", "tuple").agg(F.count("*").alias("n"), F.approx_count_distinct("root").alias("n_roots"), F.min("root").alias("least"), F.max("root").alias("most"), center).where("least <> most")
-    keys = materialize(keys.select("key", "tuple", "n", "n_roots", "center"), "keys")
-    discard(named_mixed)
-    few = groups.join(keys.where(f"n <= {SMALL}").select("key", "tuple"), ["key", "tuple"], "left_semi")
-    other = few.toDF("key", "tuple", "v", "n_other", "other")
-    every = few.withColumnRenamed("content", "u").join(other, ["key", "tuple"]).where(f"u > v and root <> other and {_close()}").select("u", "v")
-    # a low k-mer of many components is the passage that made the buckets mixed
-    star = groups.join(keys.where(f"n > {SMALL} and (tuple or n_roots <= {SMALL})").select("key", "tuple", "center"), ["key", "tuple"])
-    star = star.where(f"root <> center.root and {_close('center.n_words')}")
+    held = [F.count("*").alias("n"), F.expr("bit_xor(xxhash64(content))").alias("texts"), F.min("content").alias("first"), F.max("content").alias("last")]
+    mixed = named.groupBy("bucket").agg(*held, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    mixed = materialize(mixed.groupBy("n", "texts", "first", "last").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "mixed")
+    members = materialize(named.join(mixed, "bucket"), "mixed-members")
+    discard(named, mixed)
+    return members
+
+
+def _second_round(members: DataFrame) -> DataFrame:
+    """(u, v), each once: all pairs of small mixed buckets in different components, and each text of a larger one with
+    its centre."""
+    few = members.where(f"n <= {SMALL}").select("bucket", "content", "n_words", "root")
+    other = few.toDF("bucket", "v", "n_other", "other")
+    every = few.withColumnRenamed("content", "u").join(other, "bucket").where(f"u > v and root <> other and {_close()}").select("u", "v")
+    large = members.where(f"n > {SMALL}")
+    # a centre is the least by a hash of its own: a text of many large buckets meets as many centres
+    center = F.min(F.struct(F.xxhash64("content", "bucket").alias("h"), "content", "n_words", "root")).alias("center")
+    star = large.join(large.groupBy("bucket").agg(center), "bucket").where(f"root <> center.root and {_close('center.n_words')}")
     return every.union(star.select(F.greatest("content", "center.content").alias("u"), F.least("content", "center.content").alias("v"))).distinct()
 
 
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """(u, v) of two blocks of a bucket, or within one: the pairs in different components whose bags allow a link."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    own, n = table["own"].to_numpy(), table["n_words"].to_numpy().astype(np.int64)
+    content, root, bags = np.array(table["content"].to_pylist(), object), np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1], _bags(table["bag"])
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    u, v = [], []
+    for k, x in enumerate(left):
+        others = right[k + 1 :] if i == j else right
+        limit = _limits(n[x], n[others])
+        may = (root[others] != root[x]) & (np.abs(n[others] - n[x]) <= limit)
+        others, limit = others[may], limit[may]
+        others = others[np.abs(bags[others] - bags[x]).sum(1) <= 2 * limit]
+        a = content[x]
+        u += [max(a, b) for b in content[others]]
+        v += [min(a, b) for b in content[others]]
+    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+
+def _third_round(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(u, v), each once: all pairs of larger mixed buckets in different components whose bags allow a link."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = members.where(f"n > {SMALL}").withColumn("own", F.pmod(F.xxhash64("content"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.join(sizes.select("content", "bag"), "content").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "n_words", "root", "bag")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(_block_pairs, "u binary, v binary").distinct()
+
+
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: ROW (its row number), doc_id, class_id, class_size and whether it is the one kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", F.col(text).alias(text))
-    signed = materialize(numbered.mapInArrow(K.give_back(_signatures(text)), f"{ROW} long, doc_id {kind}, content binary, half long, n_words long, sketch array<long>, lows array<long>"), "signatures")
+    signed = materialize(numbered.mapInArrow(K.give_back(_signatures(text)), f"{ROW} long, doc_id {kind}, content binary, half long, n_words long, sketch array<long>"), "signatures")
     members = signed.select("content", "half", "n_words", F.explode("sketch").alias("bucket"))
     many = members.groupBy("bucket").agg(F.min("half").alias("least"), F.max("half").alias("most")).where("least <> most").select("bucket")
     many = materialize(many, "many")
@@ -304,13 +366,23 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = pairs.select(F.greatest("content", "center.content").alias("u"), F.least("content", "center.content").alias("v")).distinct()
     pairs = materialize(pairs, "pairs")
     needed = shared.select("content").distinct()
-    plain = docs.select(F.col(text).alias(text)).mapInArrow(K.give_back(_texts(text)), "content binary, text string")
+    plain = docs.select(F.col(text).alias(text)).mapInArrow(K.give_back(_texts(text)), "content binary, text string, bag binary")
     texts = materialize(plain.join(needed, "content", "left_semi").dropDuplicates(["content"]), "texts")
     discard(centers)
-    links = _verified(pairs, texts)
-    more = materialize(_second_round(shared, signed, components(links)).join(pairs, ["u", "v"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(more, texts))
-    discard(shared, pairs, more, texts)
+    sizes = materialize(texts.select("content", "bag").join(shared.select("content", "n_words").distinct(), "content"), "sizes")
+    links = _verified(pairs, texts, sizes)
+    members = _mixed(shared, components(links))
+    more = materialize(_second_round(members).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    discard(pairs)
+    links = links.unionByName(_verified(more, texts, sizes))
+    large = materialize(members.where(f"n > {SMALL}").select("bucket", "content", "n_words"), "large")
+    discard(members)
+    if large.take(1):
+        left = _mixed(large, components(links))
+        rest = materialize(_third_round(left, sizes).join(more, ["u", "v"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(rest, texts, sizes))
+        discard(left, rest)
+    discard(shared, more, texts, sizes, large)
     named = signed.join(components(links).withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     named = named.select(ROW, "doc_id", F.when(F.col("n_words") > 0, F.col("root")).otherwise(F.col(ROW).cast("string").cast("binary")).alias("root"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))).alias("best")

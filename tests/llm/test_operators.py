@@ -573,3 +573,23 @@ def test_near_duplicates_in_hot_buckets(spark, tmp_path):
                 break
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == dict(enumerate(root))
     assert {(r.class_id, r.class_size, r.kept) for r in got if r.doc_id is None} == {(None, 1, True), (0, 3, False)}
+
+
+def test_near_dedup_compares_all_pairs_of_large_mixed_buckets(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    passage = rng.integers(1, 1 << 62, 82, np.uint64)
+    own = rng.integers(1, 1 << 62, (12, 18), np.uint64)
+    words = []
+    for i in range(60):  # one passage; some also have a part of their own words in common
+        tail = own[i % 12].copy()
+        tail[: i // 12] = rng.integers(1, 1 << 62, i // 12, np.uint64)
+        words.append(np.concatenate([passage[: 60 + 22 * (i % 3 == 0)], tail, rng.integers(1, 1 << 62, 8, np.uint64)]))
+    name = [b"%02d" % i for i in range(60)]
+    root = [i % 12 if i % 7 == 0 else 100 + i for i in range(60)]
+    members = spark.createDataFrame([(1, 60, bytearray(name[i]), len(words[i]), bytearray(b"%d" % root[i])) for i in range(60)], "bucket long, n long, content binary, n_words long, root binary")
+    sizes = spark.createDataFrame([(bytearray(name[i]), len(words[i]), bytearray(near_dedup.bag(words[i]))) for i in range(60)], "content binary, n_words long, bag binary")
+    found = [(bytes(r.u), bytes(r.v)) for r in near_dedup._third_round(members, sizes).collect()]
+    every = {(name[i], name[j]) for i in range(60) for j in range(i) if root[i] != root[j] and near_dedup.similar(words[i], words[j])}
+    assert every and every <= set(found) and len(found) == len(set(found))
+    assert all(u > v for u, v in found)
