@@ -507,12 +507,12 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
         table.repartition("to").sortWithinPartitions("to", "part").select("to", "blob").mapInArrow(_write_answers(uri, suffix), "to long").count()
 
     write(answers.where("to >= 0"), "-pairs")
+    discard(answers, joined)  # and the shuffle files of the answers, before the rare words are asked for
     if not whole:
         asked = numbered.mapInArrow(K.give_back(_rare(known, n_words)), "part long, to long, blob binary")
         place = F.shiftright(F.shiftrightunsigned("h", 32) * n_words, 32).alias("part")
         found = asked.groupBy("part").cogroup(words.select(place, "h", "c", "served", "t").groupBy("part")).applyInArrow(_answered, "part long, to long, blob binary")
         write(found, "-words")
-    discard(answers, joined)
     share = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (size + 1)
     below = ROOT_STRENGTH + customers
     table = sc.broadcast(tuple(frequent(words, "c", "served", "t")))
