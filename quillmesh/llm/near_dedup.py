@@ -15,11 +15,12 @@ rounds:
 2. A bucket whose texts are then still in different components is mixed. All its pairs in different components are
    compared if it has SMALL texts or fewer; in a larger one each text is held against one drawn for it.
 3. In larger buckets that are mixed even then, all pairs in different components are compared: none is left out.
-   Buckets of the same texts are one, and blocks of BLOCK texts meet each other, so that a bucket is many groups.
+   Buckets of the same texts are one, and blocks of BLOCK texts meet each other with their texts, so that a bucket is
+   many groups. A pair is aligned in one of the buckets that it shares, drawn by its hash.
 
 Before texts are aligned their bags are compared: counts of words by BINS ranges of their hash. An edit changes two
 counts by one at most, so pairs whose counts differ by more than twice the limit are no links. Round 3 takes time in
-proportion to the pairs of such a bucket, but only pairs that pass become rows.
+proportion to the pairs of such a bucket, but only links become rows, and of a group no more than join its components.
 
 Classes are the components of all links, and a link can be lost only between texts that meet in no tuple.
 
@@ -52,8 +53,8 @@ BINS = 128
 SIMILARITY = 0.8
 #: Buckets of so many texts or fewer are worked through pair by pair at once.
 SMALL = 16
-#: Texts of a block of a larger bucket, about.
-BLOCK = 1024
+#: Texts of a block of a larger bucket, about, and their words.
+BLOCK, BLOCK_WORDS = 1024, 1 << 19
 #: Copies of a centre's text at most, so that the texts held against it are dealt to as many places.
 SALTS = 256
 ROW = "__row"
@@ -308,6 +309,13 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return members
 
 
+def _joined(forest: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of a forest (node, root) and of links found since, which are removed."""
+    joined = components(forest.toDF("u", "v").unionByName(links))
+    discard(links)
+    return joined
+
+
 def _second_round(members: DataFrame) -> DataFrame:
     """(u, v), each once: all pairs of small mixed buckets in different components, and each text of a larger one with
     its centre."""
@@ -322,10 +330,20 @@ def _second_round(members: DataFrame) -> DataFrame:
 
 
 def _block_pairs(table: pa.Table) -> pa.Table:
-    """(u, v) of two blocks of a bucket, or within one: the pairs in different components whose bags allow a link."""
+    """(u, v) of two blocks of a bucket, or within one: the pairs in different components whose bags allow a link and
+    that belong to this of their buckets. With a column of texts the links among them, but none whose ends earlier ones
+    have joined."""
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     own, n = table["own"].to_numpy(), table["n_words"].to_numpy().astype(np.int64)
     content, root, bags = np.array(table["content"].to_pylist(), object), np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1], _bags(table["bag"])
+    words = list(_sequences(pa.RecordBatch.from_arrays([table["text"].combine_chunks()], names=["text"]), "text")) if "text" in table.column_names else None
+    lists = table["buckets"].combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    first, bucket = np.cumsum(size) - size, lists.flatten().to_numpy().view(np.uint64)
+    code = np.unique(bucket, return_inverse=True)[1]
+    mark = np.zeros(len(bucket), bool)
+    names = np.frombuffer(b"".join(x[:8].ljust(8, b"\0") for x in content), np.uint64)
+    here = np.array(table["bucket"][0].as_py(), np.int64).view(np.uint64)
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     u, v = [], []
     for k, x in enumerate(left):
@@ -334,18 +352,44 @@ def _block_pairs(table: pa.Table) -> pa.Table:
         may = (root[others] != root[x]) & (np.abs(n[others] - n[x]) <= limit)
         others, limit = others[may], limit[may]
         others = others[np.abs(bags[others] - bags[x]).sum(1) <= 2 * limit]
-        a = content[x]
-        u += [max(a, b) for b in content[others]]
-        v += [min(a, b) for b in content[others]]
+        if not len(others):
+            continue
+        mine = code[first[x] : first[x] + size[x]]
+        mark[mine] = True
+        at = K.ragged(first[others], size[others])
+        with np.errstate(over="ignore"):
+            pair = names[x] + names[others]
+            drawn = np.where(mark[code[at]], K.mix(bucket[at] ^ np.repeat(pair, size[others])), _MOST)
+            others = others[np.minimum.reduceat(drawn, np.cumsum(size[others]) - size[others]) == K.mix(here ^ pair)]
+        mark[mine] = False
+        for y in others:
+            if words is not None:
+                if root[x] == root[y] or not similar(words[x], words[y]):
+                    continue
+                root[root == root[y]] = root[x]
+            u.append(max(content[x], content[y]))
+            v.append(min(content[x], content[y]))
     return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    try:
+        return _block_pairs(table)
+    finally:
+        K.trim()
+
+
 def _third_round(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(u, v), each once: all pairs of larger mixed buckets in different components whose bags allow a link."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = members.where(f"n > {SMALL}").withColumn("own", F.pmod(F.xxhash64("content"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.join(sizes.select("content", "bag"), "content").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "n_words", "root", "bag")
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(_block_pairs, "u binary, v binary").distinct()
+    """(u, v), each once: of all pairs of larger mixed buckets in different components those whose bags allow a link;
+    the links among them, as many as join the components, if ``sizes`` has texts."""
+    members = members.where(f"n > {SMALL}")
+    blocks = members.groupBy("bucket").agg(F.ceil(F.greatest(F.max("n") / BLOCK, F.sum("n_words") / BLOCK_WORDS)).alias("blocks"))
+    buckets = members.groupBy("content").agg(F.collect_set("bucket").alias("buckets"))  # SKETCHES at most
+    columns = [c for c in ("bag", "text") if c in sizes.columns]
+    dealt = members.join(blocks, "bucket").withColumn("own", F.expr("pmod(xxhash64(content), blocks)"))
+    dealt = dealt.join(buckets, "content").join(sizes.select("content", *columns), "content").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "n_words", "root", "buckets", *columns)
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links, "u binary, v binary").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -371,19 +415,22 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     discard(centers)
     sizes = materialize(texts.select("content", "bag").join(shared.select("content", "n_words").distinct(), "content"), "sizes")
     links = _verified(pairs, texts, sizes)
-    members = _mixed(shared, components(links))
+    forest = components(links)
+    discard(links)
+    members = _mixed(shared, forest)
     more = materialize(_second_round(members).join(pairs, ["u", "v"], "left_anti"), "pairs")
     discard(pairs)
-    links = links.unionByName(_verified(more, texts, sizes))
+    links = _verified(more, texts, sizes)
+    forest = _joined(forest, links)
     large = materialize(members.where(f"n > {SMALL}").select("bucket", "content", "n_words"), "large")
     discard(members)
     if large.take(1):
-        left = _mixed(large, components(links))
-        rest = materialize(_third_round(left, sizes).join(more, ["u", "v"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(rest, texts, sizes))
-        discard(left, rest)
+        left = _mixed(large, forest)
+        links = materialize(_third_round(left, texts), "links")
+        discard(left)
+        forest = _joined(forest, links)
     discard(shared, more, texts, sizes, large)
-    named = signed.join(components(links).withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    named = signed.join(forest.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     named = named.select(ROW, "doc_id", F.when(F.col("n_words") > 0, F.col("root")).otherwise(F.col(ROW).cast("string").cast("binary")).alias("root"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))).alias("best")
     chosen = materialize(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), best), "classes")
