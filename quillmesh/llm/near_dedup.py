@@ -11,15 +11,17 @@ pairs at e = 0.20, in 3% at 0.16 and in less than 0.1% at 0.12 (measured in test
 Texts with the same words are one node from the start. Buckets (the texts of one tuple) are worked through in three
 rounds:
 
-1. In each bucket every text is held against the shortest one of about its length; the components are taken.
+1. In each bucket the centre of a text is the shortest one of about its length. Every text is held against CENTERS of
+   its centres, those of its largest buckets; the components are taken.
 2. A bucket whose texts are then still in different components is mixed. All its pairs in different components are
-   compared if it has SMALL texts or fewer; in a larger one each text is held against one drawn for it.
+   compared if it has SMALL texts or fewer; of larger ones each text is held against one drawn for its largest.
 3. In larger buckets that are mixed even then, all pairs in different components are compared: none is left out.
    Buckets of the same texts are one, and blocks of BLOCK texts meet each other with their texts, so that a bucket is
    many groups. A pair is aligned in one of the buckets that it shares, drawn by its hash.
 
 Before texts are aligned their bags are compared: counts of words by BINS ranges of their hash. An edit changes two
-counts by one at most, so pairs whose counts differ by more than twice the limit are no links. Round 3 takes time in
+counts by one at most, so pairs whose counts differ by more than twice the limit are no links. Round 3 then counts the
+words and pairs of neighbouring words that two texts share, of which an edit takes one and two. It takes time in
 proportion to the pairs of such a bucket, but only links become rows, and of a group no more than join its components.
 
 Classes are the components of all links, and a link can be lost only between texts that meet in no tuple.
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -51,6 +53,10 @@ PICKS = 2
 SKETCHES = 48
 BINS = 128
 SIMILARITY = 0.8
+#: Bits of the filter by which most texts that meet no other stay out of the shuffle: for each that does, and at most.
+FILTER_BITS, FILTER_MOST = 16, 1 << 27
+#: Centres that a text is held against in the first round; pairs that this leaves open are those of later rounds.
+CENTERS = 3
 #: Buckets of so many texts or fewer are worked through pair by pair at once.
 SMALL = 16
 #: Texts of a block of a larger bucket, about, and their words.
@@ -152,18 +158,40 @@ def _signatures(text: str):
                         rows.column(rows.schema.get_field_index(ROW)),
                         rows.column(rows.schema.get_field_index("doc_id")),
                         pa.array(content, pa.binary()),
-                        pa.array(np.frombuffer(b"".join(content), np.int64)[::2]),
                         pa.array(first[1:] - first[:-1], pa.int64()),
                         _lists(content, tuples, first_seen),
                     ],
-                    names=[ROW, "doc_id", "content", "half", "n_words", "sketch"],
+                    names=[ROW, "doc_id", "content", "n_words", "sketch"],
                 )
 
     return run
 
 
-def _texts(text: str):
-    """(content, text, bag) of texts with words, each content once for a slice."""
+def _filter_chunk(table: pa.Table) -> pa.Table:
+    """4096 bytes of the filter."""
+    at = table["at"].to_numpy()
+    bits = np.zeros(1 << 15, bool)
+    bits[at & 0x7FFF] = True
+    return pa.table({"chunk": pa.array([at[0] >> 15], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _filter(needed: DataFrame) -> np.ndarray:
+    """Bits by the first four bytes of a content: where it is 0, no content of ``needed`` has them."""
+    size = 1 << 15
+    wanted = min(FILTER_MOST, FILTER_BITS * needed.count())
+    while size < wanted:
+        size *= 2
+    at = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(size - 1))
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    chunks = needed.select(at.alias("at")).groupBy(F.shiftright("at", 15)).applyInArrow(_filter_chunk, "chunk long, bits binary")
+    for chunk, bits in chunks.toLocalIterator():
+        out[chunk] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _texts(text: str, may):
+    """(content, text, bag) of texts with words that the broadcast filter ``may`` lets through, each content once for a
+    slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +199,9 @@ def _texts(text: str):
                 starts, ends, first = K.spans(K.NOT_SPACE[data], offsets)
                 h = K.span_hashes(data, starts, ends)
                 content = _content(h, first)
-                seen = {c: i for i, c in enumerate(content) if first[i] < first[i + 1]}
+                at = np.frombuffer(b"".join(content), ">u4")[::4].astype(np.int64) & (8 * len(may.value) - 1)
+                needed = (may.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+                seen = {c: i for i, c in enumerate(content) if needed[i] and first[i] < first[i + 1]}
                 own = rows.column(rows.schema.get_field_index(text)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(seen), pa.binary()), own.take(pa.array(list(seen.values()), pa.int64())), pa.array([bag(h[first[i] : first[i + 1]]) for i in seen.values()], pa.binary())],
@@ -316,9 +346,17 @@ def _joined(forest: DataFrame, links: DataFrame) -> DataFrame:
     return joined
 
 
+def _first_round(held: DataFrame, centers: DataFrame) -> DataFrame:
+    """(u, v), each once: every text with the centres of its largest buckets, as a written table."""
+    met = held.join(centers, ["bucket", "length"]).where("content <> center.content").select("content", F.col("center.content").alias("center"), "n")
+    best = met.groupBy("content", "center").agg(F.max("n").alias("n")).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "center")), False).alias("all"))
+    best = best.select("content", F.explode(F.slice("all", 1, CENTERS)).alias("best"))  # of SKETCHES at most
+    return materialize(best.select(F.greatest("content", "best.center").alias("u"), F.least("content", "best.center").alias("v")).distinct(), "pairs")
+
+
 def _second_round(members: DataFrame) -> DataFrame:
-    """(u, v), each once: all pairs of small mixed buckets in different components, and each text of a larger one with
-    its centre."""
+    """(u, v), each once: all pairs of small mixed buckets in different components, and each text of larger ones with
+    the centre of the largest."""
     few = members.where(f"n <= {SMALL}").select("bucket", "content", "n_words", "root")
     other = few.toDF("bucket", "v", "n_other", "other")
     every = few.withColumnRenamed("content", "u").join(other, "bucket").where(f"u > v and root <> other and {_close()}").select("u", "v")
@@ -326,7 +364,39 @@ def _second_round(members: DataFrame) -> DataFrame:
     # a centre is the least by a hash of its own: a text of many large buckets meets as many centres
     center = F.min(F.struct(F.xxhash64("content", "bucket").alias("h"), "content", "n_words", "root")).alias("center")
     star = large.join(large.groupBy("bucket").agg(center), "bucket").where(f"root <> center.root and {_close('center.n_words')}")
-    return every.union(star.select(F.greatest("content", "center.content").alias("u"), F.least("content", "center.content").alias("v"))).distinct()
+    star = star.groupBy("content").agg(F.max(F.struct("n", "center.content")).alias("best"))
+    return every.union(star.select(F.greatest("content", "best.content").alias("u"), F.least("content", "best.content").alias("v"))).distinct()
+
+
+class _Shared:
+    """How many items, counted as often as they occur, texts have in common."""
+
+    def __init__(self, items: np.ndarray, size: np.ndarray):
+        self.size, self.first = size, np.cumsum(size) - size
+        text = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((items, text))
+        same = np.append(False, (items[order[1:]] == items[order[:-1]]) & (text[order[1:]] == text[order[:-1]]))[: len(items)]
+        place = np.arange(len(items))
+        occurrence = np.empty(len(items), np.uint64)
+        occurrence[order] = place - np.maximum.accumulate(np.where(same, 0, place))
+        with np.errstate(over="ignore"):
+            self.code = np.unique(K.mix(items + occurrence * _C), return_inverse=True)[1]
+        self.mark = np.zeros(len(items), bool)
+
+    def count(self, x: int, others: np.ndarray) -> np.ndarray:
+        mine = self.code[self.first[x] : self.first[x] + self.size[x]]
+        self.mark[mine] = True
+        found = K.row_sums(self.mark[self.code[K.ragged(self.first[others], self.size[others])]], np.append(0, np.cumsum(self.size[others])))
+        self.mark[mine] = False
+        return found
+
+
+def _shared_runs(words: list[np.ndarray]) -> tuple[_Shared, _Shared]:
+    """The words of texts and their pairs of neighbours."""
+    every, size = np.concatenate(words), np.array([len(x) for x in words])
+    after = np.ones(len(every), bool)
+    after[np.cumsum(size)[size > 0] - 1] = False
+    return _Shared(every, size), _Shared(K.window_hashes(np.append(every, np.uint64(0)), 2)[after], np.maximum(size - 1, 0))
 
 
 def _block_pairs(table: pa.Table) -> pa.Table:
@@ -337,6 +407,7 @@ def _block_pairs(table: pa.Table) -> pa.Table:
     own, n = table["own"].to_numpy(), table["n_words"].to_numpy().astype(np.int64)
     content, root, bags = np.array(table["content"].to_pylist(), object), np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1], _bags(table["bag"])
     words = list(_sequences(pa.RecordBatch.from_arrays([table["text"].combine_chunks()], names=["text"]), "text")) if "text" in table.column_names else None
+    single, double = _shared_runs(words) if words is not None else (None, None)
     lists = table["buckets"].combine_chunks()
     size = lists.value_lengths().to_numpy().astype(np.int64)
     first, bucket = np.cumsum(size) - size, lists.flatten().to_numpy().view(np.uint64)
@@ -362,6 +433,12 @@ def _block_pairs(table: pa.Table) -> pa.Table:
             drawn = np.where(mark[code[at]], K.mix(bucket[at] ^ np.repeat(pair, size[others])), _MOST)
             others = others[np.minimum.reduceat(drawn, np.cumsum(size[others]) - size[others]) == K.mix(here ^ pair)]
         mark[mine] = False
+        if words is not None:  # of the longer text's n words n - limit are left at least, of its n - 1 pairs n - 1 - 2 * limit
+            longest = np.maximum(n[x], n[others])
+            limit = _limits(n[x], n[others])
+            may = single.count(x, others) >= longest - limit
+            others, longest, limit = others[may], longest[may], limit[may]
+            others = others[double.count(x, others) >= longest - 1 - 2 * limit]
         for y in others:
             if words is not None:
                 if root[x] == root[y] or not similar(words[x], words[y]):
@@ -376,7 +453,8 @@ def _block_links(table: pa.Table) -> pa.Table:
     try:
         return _block_pairs(table)
     finally:
-        K.trim()
+        if table.num_rows > BLOCK // 4:  # it takes longer than a small group itself
+            K.trim()
 
 
 def _third_round(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -396,23 +474,26 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: ROW (its row number), doc_id, class_id, class_size and whether it is the one kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", F.col(text).alias(text))
-    signed = materialize(numbered.mapInArrow(K.give_back(_signatures(text)), f"{ROW} long, doc_id {kind}, content binary, half long, n_words long, sketch array<long>"), "signatures")
-    members = signed.select("content", "half", "n_words", F.explode("sketch").alias("bucket"))
-    many = members.groupBy("bucket").agg(F.min("half").alias("least"), F.max("half").alias("most")).where("least <> most").select("bucket")
-    many = materialize(many, "many")
-    shared = materialize(members.drop("half").join(many, "bucket", "left_semi"), "buckets")
-    discard(many)
+    signed = materialize(numbered.mapInArrow(K.give_back(_signatures(text)), f"{ROW} long, doc_id {kind}, content binary, n_words long, sketch array<long>"), "signatures")
+    # the tuples are brought together once, at any size, to find those of different texts and the texts
+    members = signed.select("content", "n_words", F.explode("sketch").alias("bucket"))
+    met = Window.partitionBy("bucket")
+    shared = members.withColumn("least", F.min("content").over(met)).withColumn("most", F.max("content").over(met)).where("least <> most")
+    shared = materialize(shared.select("content", "n_words", "bucket"), "buckets")
+    rows = materialize(signed.select(ROW, "doc_id", "content", "n_words"), "rows")
+    discard(signed)
     like = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1 / SIMILARITY)))
     held = shared.select("bucket", "content", "n_words", like.alias("length"))
     # the shortest has the least beside what the bucket's texts have in common
-    centers = materialize(held.groupBy("bucket", "length").agg(F.min(F.struct("n_words", "content")).alias("center")), "centers")
-    pairs = held.drop("n_words").join(centers, ["bucket", "length"]).where("content <> center.content")
-    pairs = pairs.select(F.greatest("content", "center.content").alias("u"), F.least("content", "center.content").alias("v")).distinct()
-    pairs = materialize(pairs, "pairs")
-    needed = shared.select("content").distinct()
-    plain = docs.select(F.col(text).alias(text)).mapInArrow(K.give_back(_texts(text)), "content binary, text string, bag binary")
-    texts = materialize(plain.join(needed, "content", "left_semi").dropDuplicates(["content"]), "texts")
+    centers = held.groupBy("bucket", "length").agg(F.min(F.struct("n_words", "content")).alias("center"), F.count("*").alias("n"))
+    centers = materialize(centers.where("n > 1"), "centers")
+    pairs = _first_round(held, centers)
+    needed = materialize(shared.select("content").distinct(), "needed")
     discard(centers)
+    may = docs.sparkSession.sparkContext.broadcast(_filter(needed))
+    plain = docs.select(F.col(text).alias(text)).mapInArrow(K.give_back(_texts(text, may)), "content binary, text string, bag binary")
+    texts = materialize(plain.join(needed, "content", "left_semi").dropDuplicates(["content"]), "texts")
+    discard(needed)
     sizes = materialize(texts.select("content", "bag").join(shared.select("content", "n_words").distinct(), "content"), "sizes")
     links = _verified(pairs, texts, sizes)
     forest = components(links)
@@ -430,7 +511,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
         discard(left)
         forest = _joined(forest, links)
     discard(shared, more, texts, sizes, large)
-    named = signed.join(forest.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    named = rows.join(forest.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     named = named.select(ROW, "doc_id", F.when(F.col("n_words") > 0, F.col("root")).otherwise(F.col(ROW).cast("string").cast("binary")).alias("root"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))).alias("best")
     chosen = materialize(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), best), "classes")

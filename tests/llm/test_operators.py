@@ -593,3 +593,37 @@ def test_near_dedup_compares_all_pairs_of_large_mixed_buckets(spark, tmp_path, m
     every = {(name[i], name[j]) for i in range(60) for j in range(i) if root[i] != root[j] and near_dedup.similar(words[i], words[j])}
     assert every and every <= set(found) and len(found) == len(set(found))
     assert all(u > v for u, v in found)
+
+
+def test_near_dedup_aligns_a_text_of_a_large_group_with_few_others(spark, tmp_path, monkeypatch):
+    """Copies with a few changes: pairs grow with the texts, not with the buckets that they share."""
+    rng, held = random.Random(4), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), 8):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(50))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    plain = near_dedup._verified
+
+    def counted(pairs, texts, sizes):
+        held.append((pairs.count(), texts.count()))
+        return plain(pairs, texts, sizes)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    got = {r.doc_id: r.class_id for r in near_dedup.digest(spark.read.parquet(f"{tmp_path}/t")).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in rows}
+    assert sum(pairs for pairs, _ in held) <= (near_dedup.CENTERS + 1) * 150
+    assert held[0][1] <= 160  # texts that meet no other are not brought together
+
+
+def test_near_dedup_filter_passes_all_that_are_needed(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    content = [rng.bytes(16) for _ in range(5000)]
+    may = near_dedup._filter(spark.createDataFrame([(bytearray(c),) for c in content[:2500]], "content binary"))
+    at = np.frombuffer(b"".join(content), ">u4")[::4].astype(np.int64) & (8 * len(may) - 1)
+    on = np.unpackbits(may)[at]
+    assert on[:2500].all() and on[2500:].mean() < 0.1
