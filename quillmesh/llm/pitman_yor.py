@@ -14,13 +14,13 @@ words and the sweep, so that scores depend neither on how rows are dealt to task
 
 Scale. All pairs of neighbouring words of all training texts count, none is left out or merged. Texts are read in
 groups of some GROUP_BYTES; a group's distinct pairs are cut by ranges of their context's hash and sent packed, one
-entry a pair and group. A context with more than a set share of all tokens is split by its dishes' hashes (its shards
-are alike, so that each takes its own tables times the number of shards for all). A range adds up its pairs, seats
-its restaurants, and answers each group with the values of its entries, in a file of the shared folder; the tables
-go on, packed by ranges of the word's hash, to the parent. Groups are read again to score their texts. The values of
-the most frequent words, KNOWN at most, are broadcast; of each group's other words they are asked for in the same way,
-by ranges of the word's hash (in the first sweep, such words enter with one probability, that of the mean of the
-counts they can have).
+entry a pair and group. A context with more than a set share of all tokens is split by its dishes' hashes into ranges of
+their own: its sweeps are made together, each with the tables of all of its shards, before its shards are seated by the
+variables so drawn. A range adds up its pairs, seats its restaurants, and answers each group with the customers and
+tables of its entries, in a file of the shared folder; the tables go on, packed by ranges of the word's hash, to the
+parent. Groups are read again to score their texts. The values of the most frequent words, KNOWN at most, are
+broadcast, and such words travel as their rank; those of each group's other words are asked for by ranges of the word's
+hash, their counts before the pairs are sent. Neither what is split nor what is broadcast changes a score.
 
 The input has to be a table (files), since it is read twice and its rows are numbered by the scan.
 
@@ -60,6 +60,8 @@ SPLIT = 1 << 20
 EXACT, FEW = 256, 90
 SEED = 7
 END = np.uint64(0x5BD1E995A7F3C2D1)
+#: Marks the cells of a split context among answers to groups (0 or more) and to ranges of words (small negatives).
+CELLS = -(1 << 62)
 #: The start of a text as a context: the greatest of all hashes.
 START = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROW = "__row"
@@ -161,20 +163,25 @@ def draw_tables(c: np.ndarray, rate: np.ndarray, discount: float, chance: np.nda
     return out
 
 
-def seat(c: np.ndarray, keys: np.ndarray, restaurant: np.ndarray, names: np.ndarray, parent: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first_tables(c: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(c.astype(float) ** DISCOUNT / 2), 1, c).astype(np.int64)
+
+
+def seat(c: np.ndarray, keys: np.ndarray, restaurant: np.ndarray, names: np.ndarray, parent: np.ndarray, shards: np.ndarray, scales: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Seats dishes of c customers: (mean tables of each dish, mean tables of each restaurant, tables of the last sweep).
 
     ``restaurant`` numbers a dish's restaurant, ``names`` are their keys, ``parent`` is a dish's parent probability,
-    ``shards`` into how many parts a restaurant was split. One customer is one table.
+    ``shards`` by how much its tables are multiplied. One customer is one table. ``scales`` are gamma variables for each
+    sweep and restaurant that were drawn before, with the tables of dishes that are not here.
     """
     n = len(names)
     many = np.flatnonzero(c > 1)
     own, place, up, key = c[many], restaurant[many], parent[many], keys[many]
     alone = np.bincount(restaurant, c == 1, n)
-    t = np.clip(np.rint(own.astype(float) ** DISCOUNT / 2), 1, own).astype(np.int64)
+    t = _first_tables(own)
     mean, tables = np.zeros(len(many)), np.zeros(n)
     for step in range(BURN_IN + SAMPLES):
-        scale = gammas(STRENGTH / DISCOUNT + (alone + np.bincount(place, t, n)) * shards, names, step)
+        scale = gammas(STRENGTH / DISCOUNT + (alone + np.bincount(place, t, n)) * shards, names, step) if scales is None else scales[step]
         t = draw_tables(own, np.maximum(scale[place] * up, 1e-300), DISCOUNT, uniforms(key, 4 * step), normals(key, 2 * step + 1))
         if step >= BURN_IN:
             mean += t
@@ -248,7 +255,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 class _Pairs:
     """The distinct pairs (context, word) of a group, in order of the ranges they are sent to."""
 
-    def __init__(self, held: list[tuple[pa.RecordBatch, _Tokens]], hot: tuple[np.ndarray, np.ndarray, np.ndarray], n_parts: int):
+    def __init__(self, held: list[tuple[pa.RecordBatch, _Tokens]], hot: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], n_parts: int):
         tokens = np.concatenate([x.hash for _, x in held])
         sizes = np.concatenate([np.diff(x.first) for _, x in held])
         self.words, self.code = np.unique(tokens, return_inverse=True)
@@ -261,10 +268,10 @@ class _Pairs:
         names = np.append(self.words, START)
         at, split = _lookup(hot[0], names)
         shards = np.where(split, hot[2][at], 1).astype(np.uint64) if len(hot[0]) else np.ones(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            shard = ((self.words[self.word] >> np.uint64(32)) * shards[self.context]) >> np.uint64(32)
-            place = K.mix(names[self.context] + shard * np.uint64(0xD6E8FEB86659FD93))
-        part = ((place >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+        shard = ((self.words[self.word] >> np.uint64(32)) * shards[self.context]) >> np.uint64(32)
+        part = ((K.mix(names[self.context]) >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+        if len(hot[0]):
+            part = np.where(split[self.context], np.uint64(n_parts) + hot[3][at[self.context]].astype(np.uint64) + shard, part)
         self.order = np.argsort(part, kind="stable")
         self.part = part[self.order].astype(np.int64)
         self.names = names
@@ -277,25 +284,53 @@ class _Pairs:
             yield int(self.part[a]), at, np.flatnonzero(np.diff(self.context[at], prepend=-1))
 
 
-_REQUEST = [np.uint64, np.uint32, np.uint64, np.uint32, np.uint8]
+#: Contexts as ranks, hashes of those without; lengths of their runs; words alike; counts; levels of words without ranks.
+_REQUEST = [np.uint32, np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint8]
+#: Customers of an entry, its tables in all samples beyond one in each; tables of a run's context in all samples.
+_ANSWER = [np.uint32, np.uint32, np.uint64]
+
+
+def _ranked(codes: np.ndarray, rest: np.ndarray, by_rank: np.ndarray) -> np.ndarray:
+    """Hashes of ranks from 1 on; of 0 the next of ``rest``."""
+    out, on = np.empty(len(codes), np.uint64), codes > 0
+    out[on], out[~on] = by_rank[codes[on] - 1], rest
+    return out
+
+
+def _levels(c: np.ndarray, floor: float, norm: float) -> np.ndarray:
+    """Probabilities of words of c customers in eighths of an octave."""
+    return np.clip(np.rint(-8 * np.log2((c + floor) / norm)), 0, 255).astype(np.uint8)
+
 
+def _counts(words: np.ndarray, keys: np.ndarray, counts: np.ndarray, store, path: str) -> np.ndarray:
+    """Training counts of a group's words: of the frequent ones, and as answered of the others."""
+    at, found = _lookup(keys, words)
+    c = np.where(found, counts[at] if len(counts) else 0, 0)
+    if not found.all():
+        c[~found] = np.concatenate([x[0] for x in _read_answers(store, path, [np.int64])])
+    return c
 
-def _requests(hot, known, n_parts: int, floor: float, norm: float, other: float):
+
+def _requests(hot, known, n_parts: int, floor: float, norm: float, uri: str, whole: bool):
     """(part, to, blob): the entries of each group by range: contexts, words, training counts, parent probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = known.value
+        keys, counts, rank = known.value
+        store, place = _open(uri)
         for group, held in _groups(batches):
             p = _Pairs(held, hot.value, n_parts)
             train = np.concatenate([np.repeat(~rows.column(rows.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(bool), np.diff(x.first)) for rows, x in held])
             c = np.bincount(p.entry, train, len(p.word)).astype(np.uint32)
-            at, found = _lookup(keys, p.words)
-            up = np.where(found, counts[at] if len(counts) else 0, other)
-            code = np.clip(np.rint(-8 * np.log2((up + floor) / norm)), 0, 255).astype(np.uint8)
+            at, found = _lookup(keys, p.names)
+            ranks = np.where(found, rank[at] + 1 if len(rank) else 0, 0).astype(np.uint32)
+            own = np.where(found[:-1], counts[at[:-1]] if len(counts) else 0, 0) if whole else _counts(p.words, keys, counts, store, f"{place}/{group}-counts")
+            level = _levels(own, floor, norm)
             parts_, blobs, size = [], [], 0
             for part, e, first in p.cuts():
                 runs = np.diff(np.append(first, len(e))).astype(np.uint32)
-                blobs.append(pack(np.diff(p.names[p.context[e[first]]], prepend=np.uint64(0)), runs, p.words[p.word[e]], c[e], code[p.word[e]]))
+                u, w = p.context[e[first]], p.word[e]
+                rest = w[~found[w]]
+                blobs.append(pack(ranks[u], p.names[u[~found[u]]], runs, ranks[w], p.words[rest], c[e], level[rest]))
                 parts_.append(part)
                 size += len(blobs[-1])
                 if size > 8 << 20:
@@ -307,35 +342,44 @@ def _requests(hot, known, n_parts: int, floor: float, norm: float, other: float)
     return run
 
 
-def _seated(hot, n_words: int):
-    """For one range: its answer to each group (to >= 0), and its tables by range of words (to < 0)."""
+def _seated(hot, known, n_parts: int, n_words: int, floor: float, norm: float, drawn=None):
+    """For one range: its answer to each group (to >= 0), and its tables by range of words (to < 0). A shard of a split
+    context is given back with its cells, until ``drawn`` has its gamma variables and tables."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, counts, shards = hot.value
+        hashes, counts, _, base = hot.value
         part = table["part"][0].as_py()
         groups = table["to"].to_pylist()
+        keys_, counts_, rank = known.value
+        by_rank, level_of = np.empty(len(keys_), np.uint64), np.empty(len(keys_), np.uint8)
+        by_rank[rank], level_of[rank] = keys_, _levels(counts_, floor, norm)
         blobs = [unpack(x.as_buffer(), _REQUEST) for x in table["blob"]]
         with np.errstate(over="ignore"):
-            runs = [np.cumsum(x[0], dtype=np.uint64) for x in blobs]
-            context = np.concatenate([np.repeat(u, x[1]) for u, x in zip(runs, blobs)])
-            word, c, code = (np.concatenate([x[i] for x in blobs]) for i in (2, 3, 4))
+            runs = [_ranked(x[0], x[1], by_rank) for x in blobs]
+            context = np.concatenate([np.repeat(u, x[2]) for u, x in zip(runs, blobs)])
+            word = np.concatenate([_ranked(x[3], x[4], by_rank) for x in blobs])
+            ranks, c = (np.concatenate([x[i] for x in blobs]) for i in (3, 5))
+            code = np.empty(len(ranks), np.uint8)
+            code[ranks > 0], code[ranks == 0] = level_of[ranks[ranks > 0] - 1], np.concatenate([x[6] for x in blobs])
             key = K.mix(context + K.mix(word) * np.uint64(3))
         keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         total = np.bincount(inverse, c, len(keys)).astype(np.int64)
         names, restaurant = np.unique(context[first], return_inverse=True)
-        customers = np.bincount(restaurant, total, len(names))
-        at, split = _lookup(hashes, names)
-        pieces = np.ones(len(names))
-        if split.any():  # a part of a context: all its customers are known, its tables are taken in proportion
-            customers[split], pieces[split] = counts[at[split]], shards[at[split]]
         cells = np.flatnonzero(total)
-        mean, tables, last = seat(total[cells], keys[cells], restaurant[cells], names, 2.0 ** (code[first][cells] / -8.0), pieces)
-        value = np.zeros(len(keys))
-        value[cells] = (total[cells] - DISCOUNT * mean) / (STRENGTH + customers[restaurant[cells]])
-        back = (STRENGTH + DISCOUNT * tables) / (STRENGTH + customers)
-        value, back = value.astype(np.float32), back.astype(np.float32)
-        ends = np.cumsum([len(x[2]) for x in blobs])
-        out_to, out = list(groups), [pack(value[i], back[np.searchsorted(names, u)]) for i, u in zip(np.split(inverse, ends[:-1]), runs)]
+        if part >= n_parts and drawn is None:
+            held = pack(keys[cells], total[cells], code[first][cells])
+            return pa.concat_tables([table, pa.table({"part": pa.array([part], pa.int32()), "to": pa.array([CELLS], pa.int64()), "blob": pa.array([held], pa.binary())})])
+        scales, of_all = None, None
+        if part >= n_parts:  # a part of one context
+            at = np.searchsorted(base, part - n_parts, "right") - 1
+            scales, of_all = drawn.value[0][:, [at]], drawn.value[1][at]
+        mean, tables, last = seat(total[cells], keys[cells], restaurant[cells], names, 2.0 ** (code[first][cells] / -8.0), np.ones(len(names)), scales)
+        more = np.zeros(len(keys), np.uint32)
+        more[cells] = np.rint((mean - 1) * SAMPLES)
+        tables = np.rint(tables * SAMPLES if of_all is None else np.full(len(names), of_all)).astype(np.uint64)
+        total = total.astype(np.uint32)
+        ends = np.cumsum([len(x[3]) for x in blobs])
+        out_to, out = list(groups), [pack(total[i], more[i], tables[np.searchsorted(names, u)]) for i, u in zip(np.split(inverse, ends[:-1]), runs)]
         words, back_to = np.unique(word[first][cells], return_inverse=True)
         served = np.bincount(back_to, last, len(words)).astype(np.uint64)
         cuts, ranges = _word_cuts(words, n_words)
@@ -343,13 +387,50 @@ def _seated(hot, n_words: int):
             out_to.append(-1 - r)
             out.append(pack(np.diff(words[a:b], prepend=np.uint64(0)), served[a:b]))
         made = pa.table({"part": pa.array([part] * len(out), pa.int32()), "to": pa.array(out_to, pa.int64()), "blob": pa.array(out, pa.binary())})
-        del blobs, runs, context, word, c, code, key, keys, inverse, out
+        del blobs, runs, context, word, c, code, ranks, key, keys, inverse, out
         K.trim()
         return made
 
     return run
 
 
+def _hot_tables(hot, n_parts: int, step: int, scales: np.ndarray | None):
+    """(context, tables) of each shard's cells before the first sweep, or after one with these gamma variables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(hot.value[3], batch.column(0).to_numpy() - n_parts, "right") - 1
+            tables = []
+            for i, blob in zip(at, batch.column(1)):
+                key, c, code = unpack(blob.as_buffer(), [np.uint64, np.int64, np.uint8])
+                many = c > 1
+                key, own, up = key[many], c[many], 2.0 ** (code[many] / -8.0)
+                t = _first_tables(own) if scales is None else draw_tables(own, np.maximum(scales[i] * up, 1e-300), DISCOUNT, uniforms(key, 4 * step), normals(key, 2 * step + 1))
+                tables.append(int(t.sum()) + int((~many).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(tables, pa.int64())], names=["at", "t"])
+
+    return run
+
+
+def _sweep_hot(cells: DataFrame, hot, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For split contexts the gamma variables [sweep, context], and their tables in all samples."""
+    names = hot.value[0]
+
+    def tables(step: int, scales: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(len(names))
+        for at, t in cells.mapInArrow(_hot_tables(hot, n_parts, step, scales), "at long, t long").groupBy("at").agg(F.sum("t")).collect():
+            out[at] = t
+        return out
+
+    scales, now, kept = [], tables(-1, None), np.zeros(len(names))
+    for step in range(BURN_IN + SAMPLES):
+        scales.append(gammas(STRENGTH / DISCOUNT + now, names, step))
+        now = tables(step, scales[-1])
+        if step >= BURN_IN:
+            kept += now
+    return np.array(scales), kept
+
+
 def _served(table: pa.Table) -> pa.Table:
     """(h, served) of one range of words."""
     blobs = [unpack(x.as_buffer(), [np.uint64, np.uint64]) for x in table["blob"]]
@@ -380,17 +461,20 @@ def _word_cuts(words: np.ndarray, n_words: int) -> tuple[list[int], list[int]]:
     return cuts, ranges[cuts[:-1]].tolist()
 
 
-def _answered(asked: pa.Table, words: pa.Table) -> pa.Table:
-    """For each group's words of one range their counts, customers and tables in the parent (zeros for unseen words)."""
-    h = words["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    h, values = h[order], [words[c].to_numpy()[order] for c in ("c", "served", "t")]
-    blobs = []
-    for blob in asked["blob"]:
-        at, found = _lookup(h, np.cumsum(unpack(blob.as_buffer(), [np.uint64])[0], dtype=np.uint64))
-        c, served, t = (np.where(found, v[at] if len(h) else 0, 0) for v in values)
-        blobs.append(pack(c.astype(np.int64), served.astype(np.int64), t.astype(np.float64)))
-    return pa.table({"part": asked["part"].cast(pa.int64()), "to": asked["to"], "blob": pa.array(blobs, pa.binary())})
+def _answered(*columns: str):
+    """For each group's words of one range these columns (zeros for unseen words)."""
+
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
+        h = words["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, values = h[order], [words[c].to_numpy()[order] for c in columns]
+        blobs = []
+        for blob in asked["blob"]:
+            at, found = _lookup(h, np.cumsum(unpack(blob.as_buffer(), [np.uint64])[0], dtype=np.uint64))
+            blobs.append(pack(*(np.where(found, v[at], 0).astype(v.dtype) if len(h) else np.zeros(len(at), v.dtype) for v in values)))
+        return pa.table({"part": asked["part"].cast(pa.int64()), "to": asked["to"], "blob": pa.array(blobs, pa.binary())})
+
+    return run
 
 
 def _root_draws(scales: list[float], size: int):
@@ -457,6 +541,12 @@ def _read_answers(store: pafs.FileSystem, path: str, kinds: list) -> Iterator[li
         at += 8 + size
 
 
+def _shards(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The shards of each split context, and those before it."""
+    shards = np.array(sizes, np.int64)
+    return shards, np.cumsum(shards) - shards
+
+
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every text."""
     spark = docs.sparkSession
@@ -472,7 +562,7 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     most = max(SPLIT, total >> 20)
     rows = lexicon.where(F.col("c") > most).collect()  # 2**20 at most
     hot_counts = sorted([(int(np.int64(r.h).view(np.uint64)), r.c) for r in rows if np.int64(r.h).view(np.uint64) != END] + ([(int(START), n_texts)] if n_texts > most else []))
-    hot = sc.broadcast((np.array([h for h, _ in hot_counts], np.uint64), np.array([c for _, c in hot_counts], np.int64), np.array([c // most + 1 for _, c in hot_counts], np.int64)))
+    hot = sc.broadcast((np.array([h for h, _ in hot_counts], np.uint64), np.array([c for _, c in hot_counts], np.int64), *_shards([c // most + 1 for _, c in hot_counts])))
     # the levels of count that hold KNOWN words at most, the most frequent first
     level = F.floor(4 * F.log2("c"))
     histogram = sorted(((r[0], r[1]) for r in lexicon.groupBy(level).count().collect()), reverse=True)  # a few hundred levels at most
@@ -490,15 +580,10 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
         return [h[order], *(held[c].to_numpy()[order] for c in columns)]
 
     floor, norm = 0.5, total + 0.5 * (size + 1)
-    other = 0.0 if whole else 2.0 ** ((least if least is not None else (histogram[0][0] + 1 if histogram else 0)) / 8)
-    known = sc.broadcast(tuple(frequent(lexicon, "c")))
-    entries = numbered.mapInArrow(K.give_back(_requests(hot, known, n_parts, floor, norm, other)), "part int, to long, blob binary")
-    answers = materialize(entries.groupBy("part").applyInArrow(_seated(hot, n_words), "part int, to long, blob binary"), "seated")
-    collect(spark)  # the shuffle files of the entries go
-    served = answers.where("to < 0").select("to", "blob").groupBy("to").applyInArrow(_served, "h long, served long")
-    joined = materialize(lexicon.join(served, "h").select("h", "c", "served"), "served")
-    words, tables = _root(joined, size)
-    customers = int(joined.agg(F.coalesce(F.sum("served"), F.lit(0))).first()[0])
+    keys, counts = frequent(lexicon, "c")
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, -counts))] = np.arange(len(keys))
+    known = sc.broadcast((keys, counts, rank))
     uri = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
     fs, folder = _open(uri)
     fs.create_dir(folder, recursive=True)
@@ -506,13 +591,34 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     def write(table: DataFrame, suffix: str) -> None:
         table.repartition("to").sortWithinPartitions("to", "part").select("to", "blob").mapInArrow(_write_answers(uri, suffix), "to long").count()
 
+    def answer(words: DataFrame, suffix: str, *columns: str) -> None:
+        place = F.shiftright(F.shiftrightunsigned("h", 32) * n_words, 32).alias("part")
+        found = asked.groupBy("part").cogroup(words.select(place, "h", *columns).groupBy("part")).applyInArrow(_answered(*columns), "part long, to long, blob binary")
+        write(found, suffix)
+
+    if not whole:
+        asked = materialize(numbered.mapInArrow(K.give_back(_rare(known, n_words)), "part long, to long, blob binary"), "asked")
+        answer(lexicon, "-counts", "c")
+        collect(spark)
+    schema = "part int, to long, blob binary"
+    entries = numbered.mapInArrow(K.give_back(_requests(hot, known, n_parts, floor, norm, uri, whole)), schema)
+    seating = functools.partial(_seated, hot, known, n_parts, n_words, floor, norm)
+    seated = [materialize(entries.groupBy("part").applyInArrow(seating(), schema), "seated")]
+    answers = seated[0].where(f"part < {n_parts}")
+    if hot_counts:
+        drawn = sc.broadcast(_sweep_hot(seated[0].where(f"to = {CELLS}").select("part", "blob"), hot, n_parts))
+        seated.append(materialize(seated[0].where(f"part >= {n_parts} and to >= 0").groupBy("part").applyInArrow(seating(drawn), schema), "seated"))
+        answers = answers.union(seated[1])
+    collect(spark)  # the shuffle files of the entries go
+    served = answers.where("to < 0").select("to", "blob").groupBy("to").applyInArrow(_served, "h long, served long")
+    joined = materialize(lexicon.join(served, "h").select("h", "c", "served"), "served")
+    words, tables = _root(joined, size)
+    customers = int(joined.agg(F.coalesce(F.sum("served"), F.lit(0))).first()[0])
     write(answers.where("to >= 0"), "-pairs")
-    discard(answers, joined)  # and the shuffle files of the answers, before the rare words are asked for
+    discard(*seated, joined, lexicon)  # and the shuffle files of the answers, before those of the rare words are made
     if not whole:
-        asked = numbered.mapInArrow(K.give_back(_rare(known, n_words)), "part long, to long, blob binary")
-        place = F.shiftright(F.shiftrightunsigned("h", 32) * n_words, 32).alias("part")
-        found = asked.groupBy("part").cogroup(words.select(place, "h", "c", "served", "t").groupBy("part")).applyInArrow(_answered, "part long, to long, blob binary")
-        write(found, "-words")
+        answer(words, "-words", "served", "t")
+        discard(asked)
     share = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (size + 1)
     below = ROOT_STRENGTH + customers
     table = sc.broadcast(tuple(frequent(words, "c", "served", "t")))
@@ -523,16 +629,20 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
         store, place = _open(uri)
         for group, held in _groups(batches):
             p = _Pairs(held, hot.value, n_parts)
-            got = _read_answers(store, f"{place}/{group}-pairs", [np.float32, np.float32])
-            value, back = np.zeros(len(p.word)), np.zeros(len(p.word))
-            for (_, e, first), (a, b) in zip(p.cuts(), got):
-                value[e], back[e] = a, np.repeat(b, np.diff(np.append(first, len(e))))
             at, found = _lookup(keys, p.words)
             up = np.where(found, root[at] if len(root) else 0.0, share / below)
-            c = np.where(found, counts[at] if len(counts) else 0, 0)
-            if not whole and not found.all():
-                rest = [np.concatenate(x) for x in zip(*_read_answers(store, f"{place}/{group}-words", [np.int64, np.int64, np.float64]))]
-                c[~found], up[~found] = rest[0], (rest[1] - ROOT_DISCOUNT * rest[2] + share) / below
+            if whole:
+                c = np.where(found, counts[at] if len(counts) else 0, 0)
+            else:
+                c = _counts(p.words, keys, counts, store, f"{place}/{group}-counts")
+                if not found.all():
+                    rest = [np.concatenate(x) for x in zip(*_read_answers(store, f"{place}/{group}-words", [np.int64, np.float64]))]
+                    up[~found] = (rest[0] - ROOT_DISCOUNT * rest[1] + share) / below
+            customers_ = STRENGTH + np.append(c, n_texts)[p.context]  # a word but the end is followed once each time
+            value, back = np.zeros(len(p.word)), np.zeros(len(p.word))
+            for (_, e, first), (own, more, tables_) in zip(p.cuts(), _read_answers(store, f"{place}/{group}-pairs", _ANSWER)):
+                value[e] = np.where(own > 0, own - DISCOUNT * (1 + more / SAMPLES), 0) / customers_[e]
+                back[e] = (STRENGTH + DISCOUNT * np.repeat(tables_, np.diff(np.append(first, len(e)))) / SAMPLES) / customers_[e]
             per_entry = np.log10(value + back * up[p.word])
             base_of = np.log10((c + floor) / norm)
             cut = 0

@@ -627,3 +627,15 @@ def test_near_dedup_filter_passes_all_that_are_needed(spark, tmp_path):
     at = np.frombuffer(b"".join(content), ">u4")[::4].astype(np.int64) & (8 * len(may) - 1)
     on = np.unpackbits(may)[at]
     assert on[:2500].all() and on[2500:].mean() < 0.1
+
+
+def test_pitman_yor_splits_and_broadcasts_change_no_score(spark, table, tmp_path, monkeypatch):
+    scores = lambda df: sorted((r.doc_id or 0, r.n_known, round(r.base_score, 5), r.score) for r in pitman_yor.digest(df).collect())
+    whole = scores(table)
+    for name, value in (("SPLIT", 200), ("KNOWN", 50)):
+        with monkeypatch.context() as m:
+            m.setattr(pitman_yor, "GROUP_BYTES", 20_000)
+            m.setattr(pitman_yor, name, value)
+            other = scores(table)
+        assert [x[:3] for x in other] == [x[:3] for x in whole]
+        assert np.allclose([x[3] for x in other], [x[3] for x in whole], rtol=1e-9), name
