@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .storage import discard, materialize
+from .storage import discard, materialize, materialize_parts
 
 SHINGLE = 5
 PICKS = 2
@@ -55,6 +55,8 @@ BINS = 128
 SIMILARITY = 0.8
 #: Bits of the filter by which most texts that meet no other stay out of the shuffle: for each that does, and at most.
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
+#: The tuples of so many hash functions are brought together at a time: what one function made meets nothing of another.
+TOGETHER = 12
 #: Centres that a text is held against in the first round; pairs that this leaves open are those of later rounds.
 CENTERS = 3
 #: Buckets of so many texts or fewer are worked through pair by pair at once.
@@ -326,17 +328,29 @@ def _close(other: str = "n_other") -> str:
     return f"abs(n_words - {other}) <= {round(1 - SIMILARITY, 9)} * greatest(n_words, {other}) + 1e-9"
 
 
+def _meetings(signed: DataFrame, first: int) -> DataFrame:
+    """(bucket, content, n_words, center, n) of the tuples from ``first`` on, TOGETHER of each text, that texts of
+    different words have in common, each text once for a bucket: ``center`` is the shortest of the n texts in the bucket
+    of about this one's length. The tuples travel once; what follows is done where those of a bucket are."""
+    members = signed.select("content", "n_words", F.explode(F.slice("sketch", first + 1, TOGETHER)).alias("bucket"))
+    met = Window.partitionBy("bucket")
+    shared = members.withColumn("least", F.min("content").over(met)).withColumn("most", F.max("content").over(met)).where("least <> most")
+    shared = shared.groupBy("bucket", "content").agg(F.first("n_words").alias("n_words"))
+    like = Window.partitionBy("bucket", F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1 / SIMILARITY))))
+    # the shortest has the least beside what the bucket's texts have in common
+    center = F.min(F.struct("n_words", "content")).over(like)["content"]
+    return shared.select("bucket", "content", "n_words", center.alias("center"), F.count("*").over(like).alias("n"))
+
+
 def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, n, content, n_words, root) of buckets that hold texts of different components, as a written table; of
-    buckets that hold the same texts one."""
-    named = shared.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    named = materialize(named, "named")
-    held = [F.count("*").alias("n"), F.expr("bit_xor(xxhash64(content))").alias("texts"), F.min("content").alias("first"), F.max("content").alias("last")]
-    mixed = named.groupBy("bucket").agg(*held, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    mixed = materialize(mixed.groupBy("n", "texts", "first", "last").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "mixed")
-    members = materialize(named.join(mixed, "bucket"), "mixed-members")
-    discard(named, mixed)
-    return members
+    """(bucket, n, content, n_words, root) of buckets that hold texts of different components, as a written table: a row
+    for each text of such a bucket. Buckets that hold the same texts are one, which is named by them."""
+    named = shared.select("bucket", "content", "n_words").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    held = {"n": F.count("*"), "texts": F.expr("bit_xor(xxhash64(content))"), "first": F.min("content"), "last": F.max("content"), "least": F.min("root"), "most": F.max("root")}
+    met = Window.partitionBy("bucket")
+    mixed = named.select("*", *[x.over(met).alias(k) for k, x in held.items()]).where("least <> most")
+    mixed = mixed.withColumn("bucket", F.xxhash64("n", "texts", "first", "last")).select("bucket", "n", "content", "n_words", "root")
+    return materialize(mixed.dropDuplicates(["bucket", "content"]), "mixed-members")
 
 
 def _joined(forest: DataFrame, links: DataFrame) -> DataFrame:
@@ -346,10 +360,9 @@ def _joined(forest: DataFrame, links: DataFrame) -> DataFrame:
     return joined
 
 
-def _first_round(held: DataFrame, centers: DataFrame) -> DataFrame:
+def _first_round(shared: DataFrame) -> DataFrame:
     """(u, v), each once: every text with the centres of its largest buckets, as a written table."""
-    met = held.join(centers, ["bucket", "length"]).where("content <> center.content").select("content", F.col("center.content").alias("center"), "n")
-    best = met.groupBy("content", "center").agg(F.max("n").alias("n")).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "center")), False).alias("all"))
+    best = shared.where("content <> center").groupBy("content", "center").agg(F.max("n").alias("n")).groupBy("content").agg(F.sort_array(F.collect_list(F.struct("n", "center")), False).alias("all"))
     best = best.select("content", F.explode(F.slice("all", 1, CENTERS)).alias("best"))  # of SKETCHES at most
     return materialize(best.select(F.greatest("content", "best.center").alias("u"), F.least("content", "best.center").alias("v")).distinct(), "pairs")
 
@@ -362,8 +375,8 @@ def _second_round(members: DataFrame) -> DataFrame:
     every = few.withColumnRenamed("content", "u").join(other, "bucket").where(f"u > v and root <> other and {_close()}").select("u", "v")
     large = members.where(f"n > {SMALL}")
     # a centre is the least by a hash of its own: a text of many large buckets meets as many centres
-    center = F.min(F.struct(F.xxhash64("content", "bucket").alias("h"), "content", "n_words", "root")).alias("center")
-    star = large.join(large.groupBy("bucket").agg(center), "bucket").where(f"root <> center.root and {_close('center.n_words')}")
+    center = F.min(F.struct(F.xxhash64("content", "bucket").alias("h"), "content", "n_words", "root")).over(Window.partitionBy("bucket"))
+    star = large.withColumn("center", center).where(f"root <> center.root and {_close('center.n_words')}")
     star = star.groupBy("content").agg(F.max(F.struct("n", "center.content")).alias("best"))
     return every.union(star.select(F.greatest("content", "best.content").alias("u"), F.least("content", "best.content").alias("v"))).distinct()
 
@@ -461,10 +474,10 @@ def _third_round(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """(u, v), each once: of all pairs of larger mixed buckets in different components those whose bags allow a link;
     the links among them, as many as join the components, if ``sizes`` has texts."""
     members = members.where(f"n > {SMALL}")
-    blocks = members.groupBy("bucket").agg(F.ceil(F.greatest(F.max("n") / BLOCK, F.sum("n_words") / BLOCK_WORDS)).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.sum("n_words").over(Window.partitionBy("bucket")) / BLOCK_WORDS))
     buckets = members.groupBy("content").agg(F.collect_set("bucket").alias("buckets"))  # SKETCHES at most
     columns = [c for c in ("bag", "text") if c in sizes.columns]
-    dealt = members.join(blocks, "bucket").withColumn("own", F.expr("pmod(xxhash64(content), blocks)"))
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(content), blocks)"))
     dealt = dealt.join(buckets, "content").join(sizes.select("content", *columns), "content").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "n_words", "root", "buckets", *columns)
     return dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links, "u binary, v binary").distinct()
@@ -475,21 +488,12 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", F.col(text).alias(text))
     signed = materialize(numbered.mapInArrow(K.give_back(_signatures(text)), f"{ROW} long, doc_id {kind}, content binary, n_words long, sketch array<long>"), "signatures")
-    # the tuples are brought together once, at any size, to find those of different texts and the texts
-    members = signed.select("content", "n_words", F.explode("sketch").alias("bucket"))
-    met = Window.partitionBy("bucket")
-    shared = members.withColumn("least", F.min("content").over(met)).withColumn("most", F.max("content").over(met)).where("least <> most")
-    shared = materialize(shared.select("content", "n_words", "bucket"), "buckets")
+    # to find the tuples of different texts and these texts
+    shared = materialize_parts([_meetings(signed, k) for k in range(0, SKETCHES, TOGETHER)], "buckets")
     rows = materialize(signed.select(ROW, "doc_id", "content", "n_words"), "rows")
     discard(signed)
-    like = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1 / SIMILARITY)))
-    held = shared.select("bucket", "content", "n_words", like.alias("length"))
-    # the shortest has the least beside what the bucket's texts have in common
-    centers = held.groupBy("bucket", "length").agg(F.min(F.struct("n_words", "content")).alias("center"), F.count("*").alias("n"))
-    centers = materialize(centers.where("n > 1"), "centers")
-    pairs = _first_round(held, centers)
+    pairs = _first_round(shared)
     needed = materialize(shared.select("content").distinct(), "needed")
-    discard(centers)
     may = docs.sparkSession.sparkContext.broadcast(_filter(needed))
     plain = docs.select(F.col(text).alias(text)).mapInArrow(K.give_back(_texts(text, may)), "content binary, text string, bag binary")
     texts = materialize(plain.join(needed, "content", "left_semi").dropDuplicates(["content"]), "texts")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import collect, discard, mark, materialize, remove, shared_dir, sweep
+from ..sources.scratch import collect, discard, mark, materialize, materialize_parts, remove, shared_dir, sweep
 
-__all__ = ["collect", "discard", "least_hashes", "mark", "materialize", "parts", "remove", "shared_dir", "sweep"]
+__all__ = ["collect", "discard", "least_hashes", "mark", "materialize", "materialize_parts", "parts", "remove", "shared_dir", "sweep"]
 
 
 def parts(spark: SparkSession) -> int:

@@ -620,6 +620,51 @@ def test_near_dedup_aligns_a_text_of_a_large_group_with_few_others(spark, tmp_pa
     assert held[0][1] <= 160  # texts that meet no other are not brought together
 
 
+def test_near_dedup_has_a_row_for_each_text_of_a_mixed_bucket(spark, monkeypatch):
+    """Large groups cost rows in proportion to their texts: no bucket is joined with itself to find or deal the mixed ones."""
+    plans = []
+    plain = near_dedup.materialize
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(near_dedup, "materialize", kept)
+    name = [b"%04d" % i for i in range(400)]
+    for size in (200, 400):
+        rows = [(b, bytearray(name[i]), 30, None, size) for b in (1, 2) for i in range(size)]  # the same texts twice
+        rows += [(3, bytearray(name[i]), 30, None, 20) for i in range(20)] + [(4, bytearray(name[i]), 30, None, 2) for i in (7, 8)]
+        shared = spark.createDataFrame(rows, "bucket long, content binary, n_words long, center binary, n long")
+        roots = spark.createDataFrame([(bytearray(name[i]), bytearray(name[0])) for i in range(1, 20)], "node binary, root binary")
+        mixed = near_dedup._mixed(shared, roots)
+        got = mixed.collect()
+        assert {(bytes(r.content), bytes(r.root), r.n) for r in got} == {(x, name[0] if i < 20 else x, size) for i, x in enumerate(name[:size])}
+        assert len(got) == size and len({r.bucket for r in got}) == 1
+        sizes = spark.createDataFrame([(bytearray(x), bytearray(128)) for x in name], "content binary, bag binary")
+        plans.append(near_dedup._third_round(mixed, sizes)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 4 and all("Window" in x for x in plans)
+    assert not [x for x in plans if re.search(r"Join \[bucket", x)]
+
+
+def test_near_dedup_brings_few_tuples_together_at_a_time(spark, table, monkeypatch):
+    """What travels at once is a part of a text's tuples; the classes are those of all at once."""
+    at_once = []
+    plain = near_dedup.materialize_parts
+
+    def counted(dfs, name):
+        at_once.append(len(dfs))
+        return plain(dfs, name)
+
+    monkeypatch.setattr(near_dedup, "materialize_parts", counted)
+    rows = lambda: sorted(map(repr, near_dedup.digest(table).collect()))
+    parts = rows()
+    monkeypatch.setattr(near_dedup, "TOGETHER", near_dedup.SKETCHES)
+    assert rows() == parts
+    monkeypatch.setattr(near_dedup, "TOGETHER", 7)  # the last part is of fewer
+    assert rows() == parts
+    assert at_once == [4, 1, 7]
+
+
 def test_near_dedup_filter_passes_all_that_are_needed(spark, tmp_path):
     rng = np.random.default_rng(1)
     content = [rng.bytes(16) for _ in range(5000)]
