@@ -22,7 +22,8 @@ rounds:
 Before texts are aligned their bags are compared: counts of words by BINS ranges of their hash. An edit changes two
 counts by one at most, so pairs whose counts differ by more than twice the limit are no links. Round 3 then counts the
 words and pairs of neighbouring words that two texts share, of which an edit takes one and two. It takes time in
-proportion to the pairs of such a bucket, but only links become rows, and of a group no more than join its components.
+proportion to the pairs of such a bucket, and a text goes once to each block of it; of the pairs only links become rows,
+and of a group no more than join its components.
 
 Classes are the components of all links, and a link can be lost only between texts that meet in no tuple.
 
@@ -56,15 +57,15 @@ SIMILARITY = 0.8
 #: Bits of the filter by which most texts that meet no other stay out of the shuffle: for each that does, and at most.
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
 #: The tuples of so many hash functions are brought together at a time: what one function made meets nothing of another.
-TOGETHER = 12
+TOGETHER = 16
 #: Centres that a text is held against in the first round; pairs that this leaves open are those of later rounds.
 CENTERS = 3
 #: Buckets of so many texts or fewer are worked through pair by pair at once.
 SMALL = 16
 #: Texts of a block of a larger bucket, about, and their words.
 BLOCK, BLOCK_WORDS = 1024, 1 << 19
-#: Copies of a centre's text at most, so that the texts held against it are dealt to as many places.
-SALTS = 256
+#: Pairs of a centre for each copy of its text, and copies at most: the texts held against it are dealt to as many places.
+EACH, SALTS = 64, 256
 ROW = "__row"
 
 _rng = np.random.default_rng(20240229)
@@ -191,6 +192,24 @@ def _filter(needed: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _let_through(may, content: list[bytes]) -> np.ndarray:
+    at = np.frombuffer(b"".join(content), ">u4")[::4].astype(np.int64) & (8 * len(may.value) - 1)
+    return ((may.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _among(table: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``table`` (content first) whose contents are in ``needed``, and few others: they need not travel to be
+    found."""
+    may = table.sparkSession.sparkContext.broadcast(_filter(needed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_let_through(may, batch.column(0).to_pylist())))
+
+    return table.mapInArrow(K.give_back(run), table.schema)
+
+
 def _texts(text: str, may):
     """(content, text, bag) of texts with words that the broadcast filter ``may`` lets through, each content once for a
     slice."""
@@ -201,8 +220,7 @@ def _texts(text: str, may):
                 starts, ends, first = K.spans(K.NOT_SPACE[data], offsets)
                 h = K.span_hashes(data, starts, ends)
                 content = _content(h, first)
-                at = np.frombuffer(b"".join(content), ">u4")[::4].astype(np.int64) & (8 * len(may.value) - 1)
-                needed = (may.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+                needed = _let_through(may, content)
                 seen = {c: i for i, c in enumerate(content) if needed[i] and first[i] < first[i + 1]}
                 own = rows.column(rows.schema.get_field_index(text)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -305,11 +323,12 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are similar, as a written table. A centre v may be in very many pairs: these are
-    dealt by a salt, and its bag and text are sent once to each salt in use."""
+    """The pairs (u, v) whose texts are similar, as a written table. A centre v may be in very many pairs: EACH of these
+    have a salt, and its bag and text are sent once to each salt in use. Only texts that bags leave in a pair travel."""
 
     def beside(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
+        many = pairs.groupBy("v").agg(F.least(F.lit(SALTS), F.ceil(F.count("*") / EACH)).alias("salts")).where("salts > 1")
+        pairs = pairs.join(many, "v", "left").select("u", "v", F.expr("pmod(xxhash64(u), coalesce(salts, 1))").alias("salt"))
         first = table.select(F.col("content").alias("u"), *[F.col(c).alias(f"{c}_u") for c in columns])
         second = table.select(F.col("content").alias("v"), *[F.col(c).alias(f"{c}_v") for c in columns])
         second = pairs.select("v", "salt").distinct().join(second, "v")
@@ -317,6 +336,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame
 
     near = beside(pairs, sizes, ("bag", "n_words")).select("u", "v", "bag_u", "bag_v", "n_words_u", "n_words_v")
     near = materialize(near.mapInArrow(_plausible, "u binary, v binary"), "plausible")
+    texts = _among(texts.select("content", "text"), near.select(F.col("u").alias("content")).union(near.select("v")))
     both = beside(near, texts, ("text",)).select("u", "v", F.col("text_u").alias("a"), F.col("text_v").alias("b"))
     links = materialize(both.mapInArrow(K.give_back(_verify), "u binary, v binary"), "links")
     discard(near)
@@ -511,7 +531,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     discard(members)
     if large.take(1):
         left = _mixed(large, forest)
-        links = materialize(_third_round(left, texts), "links")
+        links = materialize(_third_round(left, _among(texts, left.select("content").distinct())), "links")
         discard(left)
         forest = _joined(forest, links)
     discard(shared, more, texts, sizes, large)

@@ -662,7 +662,7 @@ def test_near_dedup_brings_few_tuples_together_at_a_time(spark, table, monkeypat
     assert rows() == parts
     monkeypatch.setattr(near_dedup, "TOGETHER", 7)  # the last part is of fewer
     assert rows() == parts
-    assert at_once == [4, 1, 7]
+    assert at_once == [3, 1, 7]
 
 
 def test_near_dedup_filter_passes_all_that_are_needed(spark, tmp_path):
