@@ -17,15 +17,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: Tables of powers up to this length are made as long as is asked for, to the next power of two, and stay between tasks.
+KEPT_POWERS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 
 def trim() -> None:
-    """Return freed memory to the system."""
-    _powers.clear()
+    """Return freed memory to the system. Short tables of powers stay, as the tasks of small groups all need them."""
+    if _powers and len(_powers[0]) > KEPT_POWERS:
+        _powers.clear()
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()  # what is alive at the end of a worker's first task is mostly modules: later calls need not go through it
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         with contextlib.suppress(OSError, AttributeError):  # a C library without it
@@ -95,7 +100,7 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES) + 1
+        size = 1 << max(12, (n - 1).bit_length()) if n <= KEPT_POWERS else max(n, SLICE_BYTES) + 1
         inverse = pow(_BASE, -1, 1 << 64)
         out = []
         for base in (_BASE, inverse):
@@ -121,7 +126,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     p, q = _power_tables(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
+        x = total[1:]  # all in one place: a slice takes eight times its bytes for it
+        x += data
+        x += np.uint64(1)
+        x *= p[: len(data)]
+        np.cumsum(x, out=x)
         h = (total[ends] - total[starts]) * q[starts]
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

@@ -86,28 +86,17 @@ def _split(bits: int):
 
 def _windows(window: int, n_parts: int, text: str):
     schema = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("blob", pa.binary())])
+    edges = np.array([-(-(p << 32) // n_parts) << 32 for p in range(n_parts)], np.uint64)  # the least hash of each range
 
     def group(held: list) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([h[0] for h in held])
-        counts = np.concatenate([h[2][1:] - h[2][:-1] for h in held])
-        hashes = np.concatenate([h[1] for h in held])
+        rows, first, h, at = map(np.concatenate, zip(*held))
         held.clear()
-        first = np.concatenate([[0], np.cumsum(counts)])
-        h = K.window_hashes(hashes, window)
         if not len(h):
             return
-        inside = np.zeros(len(h) + 1, np.int32)  # windows that stay in one text
-        fits = counts >= window
-        np.add.at(inside, first[:-1][fits], 1)
-        np.add.at(inside, first[1:][fits] - window + 1, -1)
-        at = np.flatnonzero(np.cumsum(inside[:-1]))
-        if not len(at):
-            return
-        used = np.flatnonzero(fits)
-        rows, first = rows[used], first[:-1][used]
-        h = h[at]
+        K.trim()  # the sort needs no tables of powers
         order = np.argsort(h, kind="stable")
-        h, at = h[order], at[order].astype(np.uint32)
+        h, at = h[order], at[order]
+        del order
         same = h[1:] == h[:-1]
         new = np.append(True, ~same)
         again = np.append(False, same) | np.append(same, False)
@@ -118,10 +107,10 @@ def _windows(window: int, n_parts: int, text: str):
             known.append(True)
             blobs.append(pack(places, rows, first.astype(np.int64)))
         h, at, again = h[new], at[new], again[new]
-        part = ((h >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
-        cuts = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
+        del same, new
+        cuts = [*np.searchsorted(h, edges).tolist(), len(h)]
         for p in range(n_parts):
-            a, b = int(cuts[p]), int(cuts[p + 1])
+            a, b = cuts[p], cuts[p + 1]
             if a == b:
                 continue
             t = np.unique(np.searchsorted(first, at[a:b], "right") - 1)  # only texts with a place in this range
@@ -134,16 +123,25 @@ def _windows(window: int, n_parts: int, text: str):
         if parts_:
             yield pa.RecordBatch.from_arrays([pa.array(parts_, pa.int32()), pa.array(known), pa.array(blobs, pa.binary())], schema=schema)
 
+    def windows(rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[tuple[np.ndarray, ...], int]:
+        """(rows and first words of texts with windows, hashes and places of these), and the words so far: those of the
+        group before this slice are ``words``."""
+        starts, ends, first = K.spans(K.NOT_SPACE[data], offsets)
+        own = K.window_hashes(K.span_hashes(data, starts, ends), window)
+        used = np.flatnonzero(np.diff(first) >= window)
+        at = K.ragged(first[used], np.diff(first)[used] - window + 1)
+        return (rows[used], first[used] + words, own[at], (at + words).astype(np.uint32)), words + len(starts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, words = [], 0, 0
         for batch in batches:
             for rows, data, offsets in K.slices(batch, text):
-                starts, ends, first = K.spans(K.NOT_SPACE[data], offsets)
-                held.append((rows.column(rows.schema.get_field_index(ROW)).to_numpy(), K.span_hashes(data, starts, ends), first))
+                found, words = windows(rows.column(rows.schema.get_field_index(ROW)).to_numpy(), data, offsets, words)
+                held.append(found)
                 size += len(data)
                 if size >= GROUP_BYTES:
                     yield from group(held)
-                    held, size = [], 0
+                    held, size, words = [], 0, 0
         if held:
             yield from group(held)
 

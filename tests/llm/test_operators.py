@@ -471,6 +471,39 @@ def test_substring_dedup(table, rows, monkeypatch):
         assert sum(b - a for a, b in r.removed_spans) == r.n_removed and hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_substring_dedup_hashes_windows_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = [str(rng.getrandbits(20)) for _ in range(5000)]
+    texts = pa.array([" ".join(rng.choices(words, k=400)) for _ in range(8500)], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=[substring_dedup.ROW, "text"])
+    kernels.trim()
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in substring_dedup._windows(substring_dedup.WINDOW, 100, "text")(iter([batch]))) == 100
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 210e6  # of 23 MB of text; 251 MB before
+
+
+def test_span_hashes_of_short_and_long_slices():
+    """Tables of powers are as long as is needed: a hash depends on the bytes alone."""
+    data = np.frombuffer(b"one two one " * 30_000, np.uint8)
+    offsets = np.array([0, len(data)])
+    whole = kernels.span_hashes(data, *kernels.spans(kernels.NOT_SPACE[data], offsets)[:2])
+    kernels.trim()
+    short = kernels.span_hashes(data[:12], *kernels.spans(kernels.NOT_SPACE[data[:12]], np.array([0, 12]))[:2])
+    assert (whole.reshape(-1, 3) == short).all() and short[0] == short[2] != short[1]
+    kernels._powers.clear()
+    kernels._power_tables(1000)
+    kernels.trim()
+    assert 1000 <= len(kernels._powers[0]) <= 4096  # a task of few words makes no tables of millions, and leaves them to the next
+
+
 CALLS = {
     "decontaminate": lambda d, b: decontaminate.annotate(d, b),
     "bpe": lambda d, b: bpe.tokenize(d, decoded=True, digests=True),
