@@ -187,7 +187,7 @@ def _filter(needed: DataFrame) -> np.ndarray:
     at = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(size - 1))
     out = np.zeros((size >> 15, 4096), np.uint8)
     chunks = needed.select(at.alias("at")).groupBy(F.shiftright("at", 15)).applyInArrow(_filter_chunk, "chunk long, bits binary")
-    for chunk, bits in chunks.toLocalIterator():
+    for chunk, bits in chunks.collect():  # FILTER_MOST bits at most, in one job: an iterator takes one for each partition
         out[chunk] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
@@ -406,14 +406,14 @@ class _Shared:
 
     def __init__(self, items: np.ndarray, size: np.ndarray):
         self.size, self.first = size, np.cumsum(size) - size
-        text = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((items, text))
-        same = np.append(False, (items[order[1:]] == items[order[:-1]]) & (text[order[1:]] == text[order[:-1]]))[: len(items)]
+        order = np.argsort(items, kind="stable")  # of equal items those of a text stand together
+        text = np.repeat(np.arange(len(size)), size)[order]
         place = np.arange(len(items))
-        occurrence = np.empty(len(items), np.uint64)
-        occurrence[order] = place - np.maximum.accumulate(np.where(same, 0, place))
-        with np.errstate(over="ignore"):
-            self.code = np.unique(K.mix(items + occurrence * _C), return_inverse=True)[1]
+        other = np.append(True, items[order[1:]] != items[order[:-1]])[: len(items)]
+        start = np.maximum.accumulate(np.where(other, place, 0))
+        own = np.maximum.accumulate(np.where(other | np.append(True, text[1:] != text[:-1])[: len(items)], place, 0))
+        self.code = np.empty(len(items), np.int64)
+        self.code[order] = start + place - own  # an item's numbers begin at its start, one for each time that a text has it
         self.mark = np.zeros(len(items), bool)
 
     def count(self, x: int, others: np.ndarray) -> np.ndarray:

@@ -698,6 +698,31 @@ def test_near_dedup_brings_few_tuples_together_at_a_time(spark, table, monkeypat
     assert at_once == [3, 1, 7]
 
 
+def test_near_dedup_filter_is_brought_in_one_go(spark, monkeypatch):
+    needed = spark.range(40_000).selectExpr("unhex(md5(cast(id as string))) content")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("filter", "")
+    try:
+        bits = near_dedup._filter(needed)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("filter"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(bits) * 8 >= 16 * 40_000 and jobs < 12  # a job for each partition before
+
+
+def test_near_dedup_counts_what_texts_share():
+    rng = random.Random(4)
+    texts = [[rng.randrange(9) for _ in range(rng.randrange(30))] for _ in range(40)]
+    shared = near_dedup._Shared(np.array([x for t in texts for x in t], np.uint64), np.array([len(t) for t in texts]))
+    others = np.array([i for i, t in enumerate(texts) if t])
+    for i, t in enumerate(texts):
+        assert shared.count(i, others).tolist() == [sum((Counter(t) & Counter(texts[j])).values()) for j in others]
+
+
 def test_near_dedup_filter_passes_all_that_are_needed(spark, tmp_path):
     rng = np.random.default_rng(1)
     content = [rng.bytes(16) for _ in range(5000)]
