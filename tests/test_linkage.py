@@ -1,7 +1,12 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import features as X
+from quillmesh.functions import pairwise as B
+from quillmesh.functions import similarity as S
 from quillmesh.operators import candidates as C
 from quillmesh.operators import decisions as D
 from quillmesh.operators import diagnostics as G
@@ -9,6 +14,7 @@ from quillmesh.operators import model as M
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import sampling as P
 from quillmesh.operators import validate as V
+from quillmesh.queries import FEATURES
 from quillmesh.sources import sinks, tables
 
 SCORED = "q_id string, src int, rec_id string, score double, label int"
@@ -218,3 +224,39 @@ def test_only_asked_features_are_made(spark):
     p = Q.Plan(spark, "/root/testdata/sf0.001")
     assert p.scored().columns == Q.PAIR and p.scored() is p.scored()
     assert p.accepted("n_contain").columns == [*Q.PAIR, "n_contain"]
+
+
+def test_dense_topk_brings_no_more_than_the_lists_together(spark):
+    rng = np.random.default_rng(3)
+    vectors = lambda n: [[float(x) for x in v] for v in rng.integers(-3, 4, (n, 8))]
+    queries, pool = vectors(30), vectors(900)
+    pool[500:520] = [pool[0]] * 20  # equal products go by id
+    q = spark.createDataFrame([(f"q{i}", i % 2, v) for i, v in enumerate(queries)], "q_id string, country int, embedding array<float>")
+    p = spark.createDataFrame([(2, f"r{i}", i % 2, v) for i, v in enumerate(pool)], "src int, rec_id string, country int, embedding array<float>").repartition(3)
+    found = C.dense_topk(q, p, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # tasks hold queries, not parts of the pool, and have their final lists
+    want = set()
+    for i, v in enumerate(queries):
+        near = sorted((-round(float(np.dot(v, w)), 6), f"r{j}") for j, w in enumerate(pool) if j % 2 == i % 2)[:4]
+        want |= {(f"q{i}", 2, r, -d, k) for k, (d, r) in enumerate(near)}
+    assert {tuple(r) for r in found.collect()} == want
+    huge = spark.createDataFrame([(2, f"r{i}", 0, [1e30 * i, 1.0]) for i in range(40)], "src int, rec_id string, country int, embedding array<float>")
+    far = spark.createDataFrame([("q", 0, [1e30, 1.0])], "q_id string, country int, embedding array<float>")
+    assert [r.rec_id for r in C.dense_topk(far, huge, 2).orderBy("rank").collect()] == ["r39", "r38"]
+
+
+def test_pair_features_are_those_of_expressions(spark):
+    rng = random.Random(2)
+    name = lambda: " ".join(rng.choice(("ibm", "international", "business", "machines", "ab", "x", "")) for _ in range(rng.randint(0, 4))).strip()
+    address = lambda: " ".join(rng.choice(("0108", "12", "560001", "tower", "st", "near", "temple", "")) for _ in range(rng.randint(0, 5))).strip()
+    rows = [(f"q{i // 7:03}", 2 + i % 2, f"r{i}", "US", name(), name(), address(), address(), i % 3, i % 2, "", "ny", 9.0, 1.0, 0.5, 3.5, 0.1, 0.2, rng.choice((0.0, 0.25, 0.5)), 1.0, 1.0, i % 2) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "q_id string, src int, rec_id string, country string, q_core string, p_core string, q_addr string, p_addr string, q_legal int, p_legal int, q_state string, p_state string, q_name_rarity double, p_name_rarity double, q_addr_sat double, p_addr_sat double, blk_name double, blk_addr double, dense_cos double, dense_rank double, in_dense double, label int")
+    full = S.fuzzy_features(X.set_features(pairs)).withColumn("s0", X.base_score())
+    full = X.relative(full, dense="dense_cos").select("q_id", "rec_id", *[F.col(c).cast("double") + F.lit(0.0) for c in FEATURES])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)  # queries that go over the end of a batch
+    try:
+        got = B.pair_features(pairs, ["q_id", "rec_id"], FEATURES).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, full.collect()))

@@ -57,3 +57,13 @@ def test_fuzzy_features_of_nulls_and_clashes(spark):
     rows = [("acme inc", "acme", None, "", 1.0), ("", None, "1 main st", "1 main rd", 2.0), ("a b", "b a", "x", "x", 3.0)]
     got = S.fuzzy_features(spark.createDataFrame(rows, "q_core string, p_core string, q_addr string, p_addr string, n_lev double")).collect()
     assert got[0].n_tokset == 1.0 and got[0].a_lev == 0.0 and got[1].n_lev == 0.0 and 0 < got[1].a_lev < 1 and got[2].n_toksort == 1.0
+
+
+def test_batches_measure_as_single_pairs():
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("abcé \U0001f600") for _ in range(rng.choice((0, 1, 2, 4, 9, 30, 63, 64, 65, 90))))
+    a = [text() for _ in range(400)]
+    b = [text() if rng.random() < 0.8 else x for x in a]
+    for names in (tuple(S.NAME), tuple(S.ADDRESS)):
+        assert S.measures(names, a, b).tolist() == [list(S._measures(names, x, y)) for x, y in zip(a, b)]
+    assert S.measures(("n_jw", "n_lev"), [None, "a\0b"], ["x", "a\0b"]).tolist() == [[0.0, 0.0], [1.0, 1.0]]
